@@ -6,7 +6,7 @@ value is its share of the text's n-grams times SCALE, so a score is the mean of
 with no look at a text's length, its language column or its source.
 
 Training streams a bounded, hash-chosen sample of labelled rows (`rows`, a parameter) through one task, which holds
-the weights and one Arrow batch. Weights are 2^BITS floats whatever the corpus: that bounds the broadcast.
+the weights, one Arrow batch and the sparse rows it goes over again (HELD_VALUES). Weights are 2^BITS floats whatever the corpus: that bounds the broadcast.
 
 Edge cases: null, empty and word-less texts get the score of the bias alone; without labels every score is 0.5;
 every row returns one row; rows with a null label teach nothing.
@@ -29,6 +29,8 @@ BITS = 18
 SCALE = 24.0
 #: Words taken at once; a longer text is taken in pieces.
 PIECE = 1 << 15
+#: Feature values that training holds for its later passes, 8 bytes each; rows beyond are seen once.
+HELD_VALUES = 8_000_000
 SHAPE = bytes(
     0x41 if 0x41 <= b <= 0x5A else 0x61 if 0x61 <= b <= 0x7A or b >= 0x80 else 0x39 if 0x30 <= b <= 0x39 else b
     for b in range(256)
@@ -102,7 +104,7 @@ def _row(features: Features, text: bytes | None) -> tuple[np.ndarray, np.ndarray
     return np.concatenate([at, bias]), np.concatenate([n * (SCALE / n.sum()), np.ones(1)])
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str, keep, rows: int = 10_000, **leader) -> np.ndarray:
+def train(docs: DataFrame, labels: DataFrame, label: str, keep, rows: int = 6000, passes: int = 3, **leader) -> np.ndarray:
     """Weights (the last is the bias) from at most `rows` labelled rows that `keep` admits."""
     chosen = sample_labels(labels, label, keep, rows)
     lessons = (
@@ -113,10 +115,17 @@ def train(docs: DataFrame, labels: DataFrame, label: str, keep, rows: int = 10_0
     )
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, features = Leader(**leader), Features()
+        model, features, held, room = Leader(**leader), Features(), [], HELD_VALUES
         for batch in batches:
             for y, text in zip(batch.column("label"), batch.column("text"), strict=True):
-                model.learn(*_row(features, text.as_py()), y.as_py())
+                at, x = _row(features, text.as_py())
+                model.learn(at, x, y.as_py())
+                room -= len(at)
+                if room >= 0:
+                    held.append((at.astype(np.int32), x.astype(np.float32), y.as_py()))
+        for _ in range(passes - 1):
+            for at, x, y in held:
+                model.learn(at, x, y)
         w = model.weights(np.arange(len(model.z))).astype(np.float32)
         yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary())], names=["w"])
 
@@ -152,7 +161,7 @@ def held_out(doc_id):
     return F.pmod(id_crc(doc_id), F.lit(FOLDS)) == HELD
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, rows: int = 10_000) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, rows: int = 6000) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of docs."""
     score = score_column(docs.sparkSession, train(docs, labels, "quality", lambda c: ~held_out(c), rows))
     return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score(utf8()).alias("score")).withColumn(
@@ -160,7 +169,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, r
     )
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, rows: int = 10_000) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, rows: int = 6000) -> DataFrame:
     """The rows of docs that the classifier does not reject. It learns from the labelled rows still in docs."""
     score = score_column(docs.sparkSession, train(docs, labels, "quality", lambda c: ~held_out(c), rows))
     return docs.where(score(utf8()) >= threshold)

@@ -1,15 +1,16 @@
 """Toxicity: maximum-scoring segments over token log-odds, calibrated as extremes.
 
 Log-odds of a token between toxic and other labelled texts carry an informative Dirichlet prior from the tokens of
-both (Monroe, Colaresi and Quinn, 2008); a token scores its log-odds if they stand `z_least` standard errors above
-zero. Every other token costs `drift`, so a text's expected score falls. Ruzzo and Tompa's scan then finds all maximal
+both (Monroe, Colaresi and Quinn, 2008). What is counted is a token's different left neighbours, not its occurrences:
+copies of a text and words repeated in a row then teach nothing twice. A token scores its log-odds if its likelihood
+ratio's signed root is `z_least` or more. Every other token costs `drift`, so a text's expected score falls. Ruzzo and Tompa's scan then finds all maximal
 scoring segments in linear time; here it walks the scoring tokens only, since the drift between them is known. Each
 segment's chance of arising in ordinary text is E = K n exp(-lambda S) (Karlin and Altschul), lambda solved from the
 sample's clean texts; a text's evidence is the sum of -ln E over segments with E < 1 and its best one, and a
 logistic fit of those on the sample gives the probability.
 
 Training streams at most `rows` labelled rows (a parameter) chosen by hash. The lexicon holds only tokens that pass
-the z test, so its size is bounded by the sample.
+that test, so its size is bounded by the sample.
 
 Edge cases: null, empty and word-less texts have no segment and get the score of no evidence; without toxic labels
 every score is that of no evidence, 0.5 if there are no labels at all; every row returns one row.
@@ -18,6 +19,7 @@ every score is that of no evidence, 0.5 if there are no labels at all; every row
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORDS, id_crc, sample_labels, utf8
+from .common import WORDS, durable, id_crc, sample_labels, utf8
 
 #: Rows whose crc32(doc_id) leaves this remainder are held out.
 FOLDS, HELD = 3, 1
@@ -39,14 +41,17 @@ def held_out(doc_id):
 
 
 def log_odds(toxic: Counter, clean: Counter, prior: float = 500.0, z_least: float = 4.0) -> dict[bytes, float]:
-    """Tokens whose log-odds stand z_least standard errors above zero."""
+    """The log-odds of tokens whose counts tell the classes apart, those for toxic only."""
     n_toxic, n_clean = sum(toxic.values()), sum(clean.values())
     total, out = n_toxic + n_clean, {}
     for token, k in toxic.items():
-        alpha = prior * (k + clean[token]) / total
+        both = k + clean[token]
+        alpha = prior * both / total
         a, b = k + alpha, clean[token] + alpha
         delta = math.log(a / max(n_toxic + prior - a, 1e-9)) - math.log(b / max(n_clean + prior - b, 1e-9))
-        if delta / math.sqrt(1 / a + 1 / b) >= z_least:
+        parts = ((k, both * n_toxic / total), (clean[token], both * n_clean / total))
+        ratio = 2 * sum(x * math.log(x / e) for x, e in parts if x)
+        if delta > 0 and ratio >= z_least**2:
             out[token] = delta
     return out
 
@@ -127,31 +132,25 @@ def _features(total: float, best: float) -> tuple[float, float]:
     return math.log1p(total), math.log1p(best)
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = 12_000, z_least: float = 4.0) -> Model:
+def train(docs: DataFrame, labels: DataFrame, rows: int = 6000, z_least: float = 4.0) -> Model:
     chosen = sample_labels(labels, "toxic", lambda c: ~held_out(c), rows)
     lessons = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", utf8().alias("text"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = (Counter(), Counter())
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            seen: set[tuple[int, bytes, int]] = set()
             for y, text in zip(batch.column("label").to_pylist(), batch.column("text"), strict=True):
-                seen[y > 0].update((text.as_py() or b"").translate(WORDS).split())
-        for y, c in enumerate(seen):
-            tokens = list(c)
-            for at in range(0, len(tokens), 1 << 16):
-                part = tokens[at : at + (1 << 16)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([y] * len(part), pa.int32()), pa.array(part, pa.binary()), pa.array([c[t] for t in part], pa.int64())],
-                    names=["y", "token", "n"],
-                )
-
-    table = lessons.mapInArrow(count, "y int, token binary, n bigint")
-    wide = table.groupBy("token").agg(
-        F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("c")
-    )
+                words = (text.as_py() or b"").translate(WORDS).split()
+                seen.update(zip([int(y > 0)] * len(words), words, map(zlib.crc32, [b"", *words]), strict=False))
+            rows = list(seen)
+            for at in range(0, len(rows), 1 << 16):
+                y, token, left = zip(*rows[at : at + (1 << 16)], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(token, pa.binary()), pa.array(left, pa.int64())], names=["y", "token", "left"])
+
+    table = lessons.mapInArrow(contexts, "y int, token binary, left bigint").distinct()
+    one = lambda y: F.count(F.when(F.col("y") == y, 1))
+    wide = table.groupBy("token").agg(one(1).alias("t"), one(0).alias("c"))
     # Totals first, then the tokens that can pass: at least twice as frequent in toxic texts. Both are bounded by the sample.
-    from .common import durable
-
     wide = durable(wide, "tokens")
     totals = wide.agg(F.sum("t").alias("t"), F.sum("c").alias("c")).first()
     model = Model()
@@ -185,7 +184,7 @@ def evidence_column(spark, model: Model):
     return measure
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, rows: int = 12_000) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, rows: int = 6000) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of docs."""
     model = train(docs, labels, rows)
     logit = F.lit(model.bias) + model.slope[0] * F.log1p("total") + model.slope[1] * F.log1p("best")
