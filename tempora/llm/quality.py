@@ -108,10 +108,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str, keep, rows: int = 6000
     """Weights (the last is the bias) from at most `rows` labelled rows that `keep` admits."""
     chosen = sample_labels(labels, label, keep, rows)
     lessons = (
-        docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most `rows` ids
-        .select("order", "doc_id", "label", utf8().alias("text"))
+        docs.select("doc_id", utf8().alias("text")).join(F.broadcast(chosen), "doc_id")  # at most `rows` ids
+        .groupBy("order", "doc_id", "label").agg(F.min("text").alias("text"))  # a repeated id teaches once
         .repartition(1)
-        .sortWithinPartitions("order", "doc_id", "text")
+        .sortWithinPartitions("order", "doc_id")
     )
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -134,7 +134,8 @@ def _features(total: float, best: float) -> tuple[float, float]:
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = 6000, z_least: float = 4.0) -> Model:
     chosen = sample_labels(labels, "toxic", lambda c: ~held_out(c), rows)
-    lessons = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", utf8().alias("text"))
+    taught = docs.select("doc_id", utf8().alias("text")).join(F.broadcast(chosen), "doc_id")  # at most `rows` ids
+    lessons = durable(taught.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("label", "text"), "lessons")
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
