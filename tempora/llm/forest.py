@@ -48,8 +48,12 @@ class Forest:
         sides = (x - self.mean) @ self.planes > 0
         return sides.reshape(len(x), self.trees, self.depth) @ (1 << np.arange(self.depth - 1, -1, -1))
 
-    def levels(self, strings: np.ndarray, counts: np.ndarray, enough: float) -> np.ndarray:
-        """(queries, trees) prefix lengths; counts: (trees, 2^depth) rows of each string."""
+    def levels(self, strings: np.ndarray, counts: np.ndarray, enough: float, least: int) -> np.ndarray:
+        """(queries, trees) prefix lengths; counts: (trees, 2^depth) rows of each string.
+
+        A query's own row is in every tree's range and does not count. One tree must hold `least` rows.
+        """
+        enough += self.trees
         before = np.concatenate([np.zeros((self.trees, 1), np.int64), counts.cumsum(axis=1)], axis=1)
         tree = np.arange(self.trees)
         held = np.zeros((self.depth + 1, *strings.shape), np.int64)
@@ -58,7 +62,8 @@ class Forest:
             low = (strings >> shift) << shift
             held[level] = before[tree, low + (1 << shift)] - before[tree, low]
         whole = held.sum(axis=2)  # of all trees, by level
-        level = (whole >= enough).sum(axis=0) - 1  # the deepest level that holds enough; level 0 holds all
+        full = (whole >= enough) & (held.max(axis=2) >= least)
+        level = full.sum(axis=0) - 1  # the deepest level that holds enough; level 0 holds all
         level = np.maximum(level, 0)
         out = np.empty(strings.shape, np.int64)
         for q in range(len(strings)):
@@ -68,6 +73,8 @@ class Forest:
                 continue
             gain = np.cumsum(held[top, q] - held[top + 1, q]) + whole[top + 1, q]
             out[q] = np.where(np.arange(self.trees) <= np.searchsorted(gain, enough), top, top + 1)
+            if held[out[q], q, np.arange(self.trees)].max() < least:
+                out[q] = top
         return out
 
 
@@ -138,7 +145,7 @@ def search(embeddings: DataFrame, every: int = 100, k: int = 10, trees: int = TR
             continue
         q = np.array([r.v for r in got])
         strings = forest.strings(q)
-        lot = spark.sparkContext.broadcast((np.array([r.vec_id for r in got]), q, strings, forest.levels(strings, counts, enough * rows)))
+        lot = spark.sparkContext.broadcast((np.array([r.vec_id for r in got]), q, strings, forest.levels(strings, counts, enough * rows, min(k + 1, rows))))
         part = data.mapInArrow(_visit(shared, lot, k), "query_id bigint, vec_id bigint, score double")
         found = part if found is None else found.unionByName(part)
     if found is None:
