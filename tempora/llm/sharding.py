@@ -128,8 +128,12 @@ def shard_assignments(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         "slim",
     )
     group = ["digest", "text_crc32", "size"]
-    # Only groups of several rows need shared dimensions; the others keep their own.
-    shared = slim.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("source", "lang")).alias("m")).where("n > 1").drop("n")
+    # Only groups of several rows need shared dimensions; the others keep their own. Written, so that the join stands on
+    # shuffles of its own, which Spark can split at a hot text.
+    shared = durable(
+        slim.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("source", "lang")).alias("m")).where("n > 1").drop("n"),
+        "shared",
+    )
     placed = slim.join(shared, group, "left").select(
         "doc_id",
         "size",
