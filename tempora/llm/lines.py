@@ -71,8 +71,10 @@ def removals(rows: DataFrame) -> DataFrame:
     """rows: (row, doc_id, units). (row, doc_id, start, end, kept_in): the occurrences that go, with the id that keeps them."""
     found = rows.select("row", "doc_id", F.explode("units").alias("u")).select("row", "doc_id", "u.*")
     rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row", "start")
-    firsts = (
-        found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("first")).where("n > 1").select("h1", "h2", "first")
+    # Written, so that the join stands on shuffles of its own, which Spark can split at a hot digest.
+    firsts = durable(
+        found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("first")).where("n > 1").select("h1", "h2", "first"),
+        "firsts",
     )
     return found.join(firsts, ["h1", "h2"]).where(rank != F.col("first")).select("row", "doc_id", "start", "end", F.col("first.doc_id").alias("kept_in"))
 
