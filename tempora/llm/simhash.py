@@ -164,13 +164,25 @@ def components(edges: DataFrame) -> DataFrame | None:
     """(node, root): a common root for the nodes of each component of edges (a, b); None if there are no edges.
 
     Each round maps every node to the least of its neighbours and itself, moves the edges to the mapped nodes and
-    drops loops; only local minima survive, so the edges shrink geometrically. Every round's tables are written.
+    drops loops. Rounds by value, which end a star at once, take turns with rounds by a hash that differs each time, which
+    about halve even a chain of ascending values. Every round's tables are written.
     """
+
+    def rank(node: str, turn: int):
+        return F.struct(F.xxhash64(node, F.lit(turn)).alias("h"), F.col(node).alias("node"))
+
+    def least_near(both: DataFrame, turn: int) -> DataFrame:
+        if turn % 2 == 0:
+            return both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("m"))
+        near = both.groupBy("a").agg(F.min(rank("b", turn)).alias("m"))
+        return near.select(F.col("a").alias("node"), F.least(rank("a", turn), F.col("m"))["node"].alias("m"))
+
     edges = durable(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    labels = None
+    labels, turn = None, 0
     while edges.limit(1).count():
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        lower = durable(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("m")), "lower")
+        lower = durable(least_near(both, turn), "lower")
+        turn += 1
         if labels is None:
             labels = durable(lower.select("node", F.col("m").alias("root")), "labels")
         else:
@@ -202,10 +214,12 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 5) -> DataFra
     roots = components(links(distinct.select("fp"), radius))
     if roots is None:
         return prints.join(distinct.withColumnRenamed("least", "component_id"), "fp").select("doc_id", "fp", "component_id")
-    placed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", F.coalesce("root", "fp").alias("root"), "least"
+    placed = durable(
+        distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"),
+        "placed",
     )
-    smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    # Written, so that the join stands on shuffles of its own, which Spark can split at a large component.
+    smallest = durable(placed.groupBy("root").agg(F.min("least").alias("component_id")), "smallest")
     final = durable(placed.join(smallest, "root").select("fp", "component_id"), "components")
     return prints.join(final, "fp").select("doc_id", "fp", "component_id")
 

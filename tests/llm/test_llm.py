@@ -85,6 +85,16 @@ def test_links_chains_and_blocks(spark):
         assert sorted(map(sorted, groups.values())) == sorted(sorted(j for j in expected if expected[j] == r) for r in set(expected.values()))
 
 
+def test_components_of_a_chain_and_a_star(spark):
+    """A chain of ascending values takes few rounds, not one a node."""
+    chain = [(i, i + 1) for i in range(100)]
+    star = [(1000, 1000 + i) for i in range(1, 60)] + [(999, 1000)]
+    got = {r.node: r.root for r in simhash.components(spark.createDataFrame(chain + star, "a long, b long")).collect()}
+    assert set(got) == set(range(101)) | set(range(999, 1060))
+    assert len({got[i] for i in range(101)}) == len({got[i] for i in range(999, 1060)}) == 1
+    assert got[0] != got[999]
+
+
 def test_simhash_odd(odd_docs, no_docs):
     got = simhash.near_duplicates(odd_docs).collect()
     assert len(got) == 8 and {r.component_id for r in got if r.fp == 0} == {1}
