@@ -3,7 +3,7 @@
 Base spans follow fixed rules (pattern, then a check, no retries) and always stay. Generators with a wider net propose
 more: numbers written like telephone numbers without a plus sign, cards with a failed check digit or other lengths,
 addresses with octets above 255, addresses whose at sign is spelt. Features of format and context go to gradient-boosted
-trees, trained here on the driver from a bounded sample (`rows`, a parameter) of the corpus's own candidates and
+trees, trained here on the driver from a bounded sample (`rows`, `spans`: parameters) of the corpus's own candidates and
 altered copies of them, held as CASE expressions, and per-kind thresholds calibrated on a held part choose what is
 added. Every pattern is free of nested backtracking: possessive runs that may start only where a run starts or where
 the last match ended, so a text of one long run costs linear time.
@@ -21,6 +21,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import discard, durable
+
 KINDS = ("email", "ip", "card", "phone")
 #: The patterns of the base rules, written for java.util.regex without backtracking.
 BASE = {
@@ -36,44 +38,58 @@ WIDER = (
 )
 #: Characters of context on each side.
 CONTEXT = 16
+#: Spans placed at once; three levels of pieces keep the cost near linear up to millions of spans a text.
+PIECE = 64
 N_FEATURES = 11
 
 
 def _spans(text: Column, pattern: str, possible: Column) -> Column:
     """array<struct<s, e, m, before, after>> of a pattern's matches in text."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return F.when(possible, F.transform(F.array(F.struct(found.alias("m"), text.alias("t"))), lambda x: _placed(x, pattern))[0]).otherwise(F.array().cast(SPANS))
+    return F.when(possible, _let(F.struct(found.alias("m"), text.alias("t")), lambda x: _placed(x, pattern))).otherwise(F.array().cast(SPANS))
 
 
 SPANS = "array<struct<s: int, e: int, m: string, before: string, after: string>>"
 
 
+def _starts(lengths: Column, levels: int = 3) -> Column:
+    """The sum of what stands before each element. A list grown one by one is copied each time, so it is grown in pieces
+    of PIECE, whose own starts come the same way: the cost grows with the number of elements, not with its square."""
+    if not levels:
+        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(lengths, none, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
+    pieces = F.transform(F.sequence(F.lit(1), F.size(lengths), F.lit(PIECE)), lambda i: F.slice(lengths, i, PIECE))
+
+    def joined(p: Column) -> Column:
+        wholes = F.transform(p, lambda c: F.aggregate(c, F.lit(0), lambda total, n: total + n))
+        return F.flatten(F.zip_with(p, _starts(wholes, levels - 1), lambda c, at: F.transform(_starts(c, 0), lambda n: n + at)))
+
+    return _let(pieces, joined)
+
+
+def _let(value: Column, then) -> Column:
+    """then(value), with value evaluated once."""
+    return F.transform(F.array(value), then)[0]
+
+
 def _placed(x: Column, pattern: str) -> Column:
-    def fill(y: Column) -> Column:
-        start = F.lit(0)
-        grown = F.aggregate(
-            F.sequence(F.lit(1), F.size(y["m"])),
-            F.struct(start.alias("at"), F.array().cast(SPANS).alias("out")),
-            lambda acc, i: _grow(acc, i, y),
-        )
-        return grown["out"]
-
-    split = F.transform(F.array(F.struct(x["m"].alias("m"), F.split(x["t"], pattern, -1).alias("g"))), fill)[0]
-    return F.when(F.size(x["m"]) > 0, split).otherwise(F.array().cast(SPANS))
+    """Spans of the matches x.m in x.t: the text between matches and the matches alternate."""
 
+    def spans(y: Column) -> Column:
+        lengths = F.zip_with(F.slice(y["g"], 1, F.size(y["m"])), y["m"], lambda gap, m: F.char_length(gap) + F.char_length(m))
+        return _let(F.struct(y["m"].alias("m"), y["g"].alias("g"), _let(lengths, lambda n: _starts(n)).alias("at")), fill)
 
-def _grow(acc: Column, i: Column, y: Column) -> Column:
-    gap, m = F.element_at(y["g"], i), F.element_at(y["m"], i)
-    start = acc["at"] + F.char_length(gap)
-    end = start + F.char_length(m)
-    span = F.struct(
-        start.alias("s"),
-        end.alias("e"),
-        m.alias("m"),
-        F.right(gap, F.lit(CONTEXT)).alias("before"),
-        F.left(F.element_at(y["g"], i + 1), F.lit(CONTEXT)).alias("after"),
-    )
-    return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+    def fill(z: Column) -> Column:
+        def span(m: Column, i: Column) -> Column:
+            gap = F.get(z["g"], i)
+            start = F.get(z["at"], i) + F.char_length(gap)
+            before, after = F.right(gap, F.lit(CONTEXT)), F.left(F.get(z["g"], i + 1), F.lit(CONTEXT))
+            return F.struct(start.alias("s"), (start + F.char_length(m)).alias("e"), m.alias("m"), before.alias("before"), after.alias("after"))
+
+        return F.transform(z["m"], span)
+
+    split = _let(F.struct(x["m"].alias("m"), F.split(x["t"], pattern, -1).alias("g")), spans)
+    return F.when(F.size(x["m"]) > 0, split).otherwise(F.array().cast(SPANS))
 
 
 def digits(m: Column) -> Column:
@@ -226,23 +242,30 @@ SEEDS = {
 }
 
 
-def train(docs: DataFrame, rows: int = 2000) -> Model:
-    """Trees from at most `rows` documents' candidates, chosen by hash of the id, and their altered copies."""
+def train(docs: DataFrame, rows: int = 2000, spans: int = 500, longest: int = 320) -> Model:
+    """Trees from the base generators' candidates in at most `rows` whole documents, chosen by hash of the id: `spans` of
+    a kind at most, chosen by hash wherever they stand in the text, and their altered copies. Candidates of more than
+    `longest` characters (no address or number is that long) teach nothing."""
     ids = docs.select("doc_id").where(F.col("doc_id").isNotNull()).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     taught = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # at most `rows` ids
     chosen = taught.groupBy("doc_id").agg(F.min("text").alias("text")).where(F.col("text").isNotNull())
-    spans = [F.slice(v, 1, 4).alias(n) for n, v in candidates(F.col("text")).items()]
-    seen = chosen.select(F.substring("text", 1, 20_000).alias("text")).select(*spans).collect()
-    seen = sorted(seen, key=str)
+    found = candidates(F.col("text"))
+
+    def of_kind(k: int) -> Column:
+        return F.transform(found[f"base_{KINDS[k]}"], lambda s: F.struct(F.lit(k).alias("k"), s["m"].alias("m"), s["before"].alias("before"), s["after"].alias("after")))
+
+    every = F.explode(F.concat(*[of_kind(k) for k in range(len(KINDS))]))
+    seen = durable(chosen.select(every.alias("c")).select("c.*").where(F.char_length("m") <= longest).distinct(), "taught")
     rnd = random.Random(9)
     lines: list[tuple[int, str, str, str, int]] = []
-    for kind in KINDS:
-        own = [(s.m, s.before, s.after) for r in seen for s in r[f"base_{kind}"]][:500]
+    for k, kind in enumerate(KINDS):
+        picked = seen.where(F.col("k") == k).orderBy(F.xxhash64("m", "before", "after"), "m", "before", "after").limit(spans).collect()
+        own = [(r.m, r.before, r.after) for r in picked]
         own += [(m, " see ", " and ") for m in SEEDS[kind]] * 3
-        k = KINDS.index(kind)
         for m, before, after in own:
             lines.append((k, m, before, after, -1))
             lines += [(k, a, before, after, y) for a, y in _altered(kind, m, rnd)]
+    discard(seen)
     schema = "k int, m string, before string, after string, y int"
     table = docs.sparkSession.createDataFrame(lines, schema)
     s = F.struct("m", "before", "after")
@@ -290,7 +313,7 @@ def detect(docs: DataFrame, model: Model) -> DataFrame:
     for i, (kind, _, _) in enumerate(WIDER):
         more.append(chosen(KINDS.index(kind), F.col(f"wide_{i}")))
     return found.select("doc_id", F.sort_array(F.concat(*base)).alias("base"), F.concat(*more).alias("more")).select(
-        "doc_id", "base", F.when(F.size("more") == 0, F.col("base")).otherwise(F.array_sort(F.array_union("base", "more"))).alias("all")
+        "doc_id", "base", F.when(F.size("more") == 0, F.col("base")).otherwise(F.sort_array(F.concat("base", "more"))).alias("all")
     )
 
 
