@@ -6,11 +6,14 @@ and its body; integers are big-endian. The magic is a parameter: keys of one mag
 
 from __future__ import annotations
 
+import hashlib
+import struct
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MAGIC = b"TMPHK1"
-# Type tags of the format.
+# Magic and type tags of the format, version 1.
+MAGIC = b"STLHK1"
 TAGS = {
     "null": 0, "bool": 1, "int4": 2, "int8": 3, "text": 4, "timestamp": 5, "date": 6, "timestamptz": 7, "period": 8, "uuid": 9, "bytea": 10,
 }
@@ -49,3 +52,19 @@ def hash_key(*args: tuple[str, Column | None], magic: bytes = MAGIC) -> Column:
         framed = F.concat(F.unhex(F.lit(f"{TAGS[kind]:02x}")), _be(F.octet_length(body), 8), body)
         parts.append(F.when(value.isNull(), null).otherwise(framed))
     return F.sha2(F.concat(*parts), 256)
+
+
+def constant_key(*values, magic: bytes = MAGIC) -> str:
+    """The key of constants: None, bool, int (int4 where it fits, else int8) or str."""
+    message = magic + struct.pack(">I", len(values))
+    for v in values:
+        if v is None:
+            kind, body = "null", b""
+        elif isinstance(v, bool):
+            kind, body = "bool", bytes([v])
+        elif isinstance(v, int):
+            kind, body = ("int4", struct.pack(">i", v)) if -(1 << 31) <= v < 1 << 31 else ("int8", struct.pack(">q", v))
+        else:
+            kind, body = "text", v.encode()
+        message += struct.pack(">BQ", TAGS[kind], len(body)) + body
+    return hashlib.sha256(message).hexdigest()

@@ -237,7 +237,7 @@ def interval_join_anti(spark, sf_dir):
 
 
 @query(
-    """SELECT n_nationkey, sha256(unhex('544d50484b31' || '00000003' || '02' || printf('%016x', 4) || printf('%08x', n_nationkey)
+    """SELECT n_nationkey, sha256(unhex('53544c484b31' || '00000003' || '02' || printf('%016x', 4) || printf('%08x', n_nationkey)
  || '04' || printf('%016x', octet_length(encode(n_name))) || hex(encode(n_name)) || '00' || printf('%016x', 0))) AS k FROM nation"""
 )
 def portable_hash_key(spark, sf_dir):

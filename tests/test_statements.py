@@ -1,0 +1,118 @@
+"""SQL statements over a store."""
+
+import pytest
+
+from tempora.functions.hashkey import constant_key
+from tempora.operators.timeline import TemporalError
+from tempora.plans.sql import Session
+from tempora.plans.statements import StoreSession
+from tempora.sources.store import Store, StoreError
+from tests.test_store import Clock, rows
+
+
+@pytest.fixture
+def s(spark, tmp_path):
+    session = StoreSession(Store(spark, str(tmp_path / "store"), clock=Clock()))
+    session.sql("CREATE TABLE account (id INT PRIMARY KEY, balance INT) WITH SYSTEM VERSIONING")
+    return session
+
+
+def test_writes(s):
+    assert rows(s.sql("INSERT INTO account (id, balance) VALUES (1, 10), (2, 20), (3, NULL)")) == [("INSERT", 3)]
+    before = s.store.now()
+    assert rows(s.sql("UPDATE account SET balance = balance + 1 WHERE balance > 5")) == [("UPDATE", 2)]
+    assert rows(s.sql("DELETE FROM account WHERE id = 2;")) == [("DELETE", 1)]
+    assert rows(s.sql("SELECT * FROM account")) == [(1, 11), (3, None)]
+    assert rows(s.sql(f"SELECT id, balance FROM account FOR SYSTEM_TIME AS OF {before}")) == [(1, 10), (2, 20), (3, None)]
+    assert rows(s.sql("INSERT INTO account SELECT id + 100, balance FROM account")) == [("INSERT", 2)]
+    assert rows(s.sql("UPDATE account SET balance = 0 WHERE balance > 1000")) == [("UPDATE", 0)]
+    for wrong, state in (
+        ("INSERT INTO account VALUES (1, 1)", "23505"),
+        ("UPDATE account SET balance = 1 WHERE id = 77", "02000"),
+        ("UPDATE account SET id = 5", "42601"),
+        ("UPDATE account SET nothing = 5", "42703"),
+        ("CREATE TABLE plain (id INT)", "0A000"),
+        ("CREATE TABLE c (id INT UNIQUE) WITH SYSTEM VERSIONING", "0A000"),
+        ("COMMIT", "25P01"),
+    ):
+        with pytest.raises(StoreError) as e:
+            s.sql(wrong)
+        assert e.value.sqlstate == state, wrong
+
+
+def test_merge_text(s):
+    s.sql("INSERT INTO account VALUES (1, 10), (2, 20)")
+    merge = """MERGE INTO account AS a USING (VALUES (1, 100), (3, 300), (NULL, 5)) AS s (id, balance) ON a.id = s.id
+        WHEN MATCHED THEN UPDATE SET balance = s.balance"""
+    assert rows(s.sql(merge)) == [("MERGE", 1)]
+    merge = "MERGE INTO account USING (VALUES (2, 7), (3, 300)) AS s (id, balance) ON s.id = account.id WHEN MATCHED THEN UPDATE SET balance = -1 WHEN NOT MATCHED THEN INSERT (id, balance) VALUES (s.id, s.balance)"
+    assert rows(s.sql(merge)) == [("MERGE", 2)]
+    assert rows(s.sql("SELECT * FROM account")) == [(1, 100), (2, -1), (3, 300)]
+    s.sql("CREATE TABLE feed (id INT, balance INT) WITH SYSTEM VERSIONING")
+    s.sql("INSERT INTO feed VALUES (9, 90)")
+    assert rows(s.sql("MERGE INTO account USING feed ON account.id = feed.id WHEN NOT MATCHED THEN INSERT VALUES (feed.id, feed.balance)")) == [("MERGE", 1)]
+    with pytest.raises(StoreError, match="not supported"):
+        s.sql("MERGE INTO account USING feed AS f ON account.id = f.id WHEN MATCHED THEN DELETE")
+    with pytest.raises(StoreError) as e:
+        s.sql("MERGE INTO account USING (VALUES (1, 1), (1, 2)) AS s (id, b) ON account.id = s.id WHEN MATCHED THEN UPDATE SET balance = s.b")
+    assert e.value.sqlstate == "21000"
+
+
+def test_valid_time_text(s):
+    s.sql("CREATE TABLE v (id INT, b INT, vf TIMESTAMP, vt TIMESTAMP) WITH SYSTEM VERSIONING VALID TIME (vf, vt)")
+    s.sql("INSERT INTO v (id, b, vf, vt) VALUES (1, 1, 10, 20)")
+    s.sql("INSERT INTO v (id, b, vf) VALUES (2, 2, now())")
+    s.sql("UPDATE v SET b = 5, vf = 30, vt = 40 WHERE id = 1")
+    assert rows(s.sql("SELECT id, b FROM v FOR VALID_TIME AS OF 35")) == [(1, 5)]
+    s.sql("MERGE INTO v USING (VALUES (1, 200, 5, 10), (3, 300, 7, 9)) AS s (id, b, f, t) ON v.id = s.id WHEN MATCHED THEN UPDATE SET b = s.b, vf = s.f, vt = s.t WHEN NOT MATCHED THEN INSERT (id, b, vf, vt) VALUES (s.id, s.b, s.f, s.t)")
+    assert rows(s.sql("SELECT id, b FROM v FOR VALID_TIME AS OF 8")) == [(1, 200), (3, 300)]
+
+
+def test_transaction_text(s):
+    s.sql("BEGIN")
+    s.sql("INSERT INTO account VALUES (1, 10)")
+    s.sql("SAVEPOINT one")
+    s.sql("INSERT INTO account VALUES (2, 20)")
+    assert rows(s.sql("SELECT id FROM account")) == [(1,), (2,)]
+    s.sql("ROLLBACK TO SAVEPOINT one")
+    other = StoreSession(s.store)
+    assert rows(other.sql("SELECT id FROM account")) == []
+    s.sql("COMMIT")
+    assert rows(other.sql("SELECT id FROM account")) == [(1,)]
+    s.sql("BEGIN")
+    s.sql("DELETE FROM account")
+    s.sql("ROLLBACK")
+    assert rows(s.sql("SELECT COUNT(*) AS n FROM account")) == [(1,)]
+
+
+def test_functions_indexes_copy_admin(s, spark, tmp_path):
+    path = tmp_path / "in.csv"
+    path.write_text("id;balance\n1;10\n2;\n")
+    assert rows(s.sql(f"COPY account FROM '{path}' WITH (FORMAT csv, HEADER, DELIMITER ';')")) == [("COPY", 2)]
+    s.sql("UPDATE account SET balance = 11 WHERE id = 1")
+    assert s.sql("SELECT * FROM table_history('account', 1)").count() == 2 and s.sql("SELECT * FROM table_history('account')").count() == 3
+    assert s.sql("SELECT * FROM table_audit('account') WHERE linked").count() == 3
+    assert s.sql("SELECT SUM(rows) AS n FROM table_segments('account')").first().n == 3
+    assert rows(s.sql("SELECT id, _prov_principal FROM account WHERE id = 1")) == [(1, "local")]
+    s.sql("CREATE INDEX i ON account USING HASH (balance)")
+    with pytest.raises(StoreError):
+        s.sql("CREATE INDEX k ON account (id)")
+    s.sql("DROP INDEX i")
+    s.sql("DROP INDEX IF EXISTS i")
+    for do in ("CHECKPOINT", "FLUSH", "COMPACT", f"BACKUP TO '{tmp_path}/copy'"):
+        s.sql(do)
+    assert rows(StoreSession(Store(spark, f"{tmp_path}/copy")).sql("SELECT * FROM account")) == [(1, 11), (2, None)]
+    before = s.store.now()
+    s.sql("SET any.system_time = 1")
+    s.sql("RESET any.system_time")
+    s.sql("DROP TABLE account")
+    assert s.sql(f"SELECT * FROM account FOR SYSTEM_TIME AS OF {before}").count() == 2
+    with pytest.raises(TemporalError):
+        s.sql("SELECT * FROM account")
+
+
+def test_constant_keys(spark):
+    # Published digests.
+    assert constant_key() == "c3ae0194dddca9863f78e86574fa26d75441dd94643ea5ef3196058761db054f"
+    got = Session(spark, lambda: 1).sql("SELECT 1 AS one, hash('acme', 42, NULL) AS k").first()
+    assert (got.one, got.k) == (1, "61c9586983296ab2e403396f6ce20b01e2adc2514633fc63bb9d5a1e0ce85a20")
