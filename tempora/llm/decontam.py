@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORDS, durable, utf8
+from .common import WORDS, durable, give_back, utf8
 
 WINDOW = 8
 PART_BYTES = 16 << 20
@@ -133,6 +133,8 @@ def hit_column(benchmark: DataFrame, window: int = WINDOW):
         for texts in batches:
             rows = [search(own, x.as_py()) for x in texts]
             yield _hits([r[0] for r in rows], [int(r[1].sum()) for r in rows], [r[2] for r in rows])
+        rows = texts = None
+        give_back()
 
     return find
 

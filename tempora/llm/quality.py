@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, id_crc, sample_labels, utf8
+from .common import LOWER, give_back, id_crc, sample_labels, utf8
 
 BITS = 18
 SCALE = 24.0
@@ -128,6 +128,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str, keep, rows: int = 6000
                 model.learn(at, x, y)
         w = model.weights(np.arange(len(model.z))).astype(np.float32)
         yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary())], names=["w"])
+        model = features = held = w = batch = None
+        give_back()
 
     found = lessons.mapInArrow(fit, "w binary").collect()
     return np.frombuffer(found[0].w, np.float32) if found else np.zeros((1 << BITS) + 1, np.float32)
@@ -149,6 +151,8 @@ def score_column(spark, weights: np.ndarray):
                     n += len(at)
                 out[i] = float(w[-1]) + (SCALE * total / n if n else 0.0)
             yield pa.array(1 / (1 + np.exp(-np.clip(out, -35, 35))))
+        features = texts = None
+        give_back()
 
     return score
 

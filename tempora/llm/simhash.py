@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, discard, durable, utf8
+from .common import LOWER, discard, durable, give_back, utf8
 
 SEED = 42
 #: Shingles whose bits are summed at once: 64 bytes each.
@@ -63,6 +63,8 @@ def fingerprints(docs: DataFrame, width: int = 5) -> DataFrame:
         for texts in batches:
             values = np.fromiter((fingerprint(x.as_py(), width) for x in texts), np.uint64, len(texts))
             yield pa.array(values.view(np.int64))
+        texts = None
+        give_back()
 
     return docs.select("doc_id", simhash(utf8()).alias("fp"))
 
@@ -118,6 +120,8 @@ def _bucket_links(radius: int):
                 held.append(fps[lo:hi])
         if held:
             yield close()
+        held = batch = None
+        give_back()
 
     return links
 
