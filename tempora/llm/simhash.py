@@ -34,20 +34,25 @@ CHUNK = 1 << 15
 BLOCK = 8192
 
 
-def fingerprint(text: bytes | None, width: int) -> int:
-    """The unsigned SimHash of a UTF-8 text over `width`-word shingles."""
+def shingle_hashes(text: bytes | None, width: int) -> np.ndarray:
+    """The XXH64 values of a UTF-8 text's `width`-word shingles, in order; of a shorter text's words as one."""
     words = (text or b"").translate(LOWER).split()
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(words)
     if len(words) <= width:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], "<u8")
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
     starts = (ends - lengths)[: len(words) - width + 1].tolist()
     stops = ends[width - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)], "<u8")
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)], "<u8")
+
+
+def fingerprint(text: bytes | None, width: int) -> int:
+    """The unsigned SimHash of a UTF-8 text over `width`-word shingles."""
+    hashes = shingle_hashes(text, width)
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), CHUNK):
         bits = np.unpackbits(hashes[at : at + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
