@@ -1,10 +1,14 @@
 """Substring dedup by hashing units of text: normalise, group digests over the whole corpus, keep the earliest
 occurrence, remove the rest, keep original offsets.
 
-Units are lines, and within lines runs of sentences that close with the first sentence end after `close` words. A
-sentence of that length always closes a unit, so two documents that share a passage fall into step inside it, wherever
-it begins. Units under `least` words (headings, single words) are never removed. A digest is 128 bits of the unit's
-lower-cased words joined by single spaces.
+Units are lines, cut within where the words themselves say so: a line is cut after a word whose hash, with that of the
+word before it, is the strict minimum among the `close` words around it, and the end of a sentence counts as less than
+any hash. A cut depends on those words only, never on what precedes, so two documents that share a passage are cut alike
+inside it, wherever it begins and whether or not it holds marks. Cuts keep `close`/2 words from each other and from a
+line's ends; where words repeat so that no minimum exists, a line is cut every `LONGEST` words. Letters of scripts written
+without blanks count as half a word each. Units under `least` words (headings, single words) are never removed. What a
+shared passage holds before its first cut and after its last stays. A digest is 128 bits of the unit's lower-cased words
+joined by single spaces.
 
 The earliest occurrence is that of the smallest (doc_id, row, start), null ids last. Digests are counted with map-side
 sums; only digests that occur more than once are joined back, and that join is one Spark can split when a digest is
@@ -18,6 +22,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,25 +33,74 @@ from pyspark.sql import functions as F
 from .common import durable
 
 CLOSE, LEAST = 8, 5
-END = re.compile(r"\n|(?<=[.!?])[ \t]")
+#: Words after which a line without any other cut is cut.
+LONGEST = 32
+#: Words read at once.
+BLOCK = 1 << 15
+#: Letters of scripts that part no words by blanks: Thai to Tibetan, Burmese, Khmer, kana, Han, Yi, and their marks.
+_DENSE = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3001-\u312f\u31a0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\ua000-\ua4cf\uf900-\ufaff\uff01-\uff0f\uff1a-\uff1f\uff61-\uff9f\U00020000-\U0003ffff"
+WORD = re.compile(rf"[{_DENSE}]|[^\s{_DENSE}]+")
+DENSE = re.compile(f"[{_DENSE}]")
+STOPS = frozenset(".!?\u3002\uff01\uff1f\uff61")
 UNIT = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())])
 
 
+def _cuts(hashes: np.ndarray, dense: np.ndarray, stops: np.ndarray, opens: np.ndarray, reach: int) -> np.ndarray:
+    """Whether each word is a line's last or a cut falls after it. A word takes two slots, a dense letter one."""
+    before = np.where(opens, 0, np.concatenate([hashes[:1], hashes[:-1]]))
+    keys = ((hashes * np.uint64(0x9E3779B97F4A7C15) + before) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(2)
+    keys = np.where(stops, keys, keys | np.uint64(1 << 62)) | np.uint64(1)
+    last = np.concatenate([opens[1:], [True]])
+    keys[last] = 0
+    at = np.cumsum(np.where(dense, 1, 2)) - 1 + 2 * reach
+    most = np.iinfo(np.uint64).max
+    slots = np.full(at[-1] + 1 + 2 * reach, most, np.uint64)
+    slots[at] = keys
+    if opens[0]:
+        slots[2 * reach - 1] = 0
+    around = np.full(len(keys), most, np.uint64)
+    for d in range(1, 2 * reach + 1):
+        np.minimum(around, np.minimum(slots[at - d], slots[at + d]), out=around)
+    return last | (keys < around)
+
+
 def units(text: str | None, close: int = CLOSE, least: int = LEAST) -> Iterator[tuple[int, int, bytes]]:
     """(start, end, digest) of each unit of at least `least` words."""
     if not text:
         return
-    start, held = 0, []
-    stops = [(m.start(), m.end(), m.group() == "\n") for m in END.finditer(text)]
-    stops.append((len(text), len(text), True))
-    begin = 0
-    for stop, after, line in stops:
-        held += text[begin:stop].lower().split()
-        begin = after
-        if line or len(held) >= close:
-            if len(held) >= least:
-                yield start, stop, xxhash.xxh3_128_digest(" ".join(held).encode())
-            start, held = after, []
+    reach = max(1, close // 2)
+    context = 4 * reach + 2  # words a cut can depend on, on one side, dense letters and the pair's first included
+    found = WORD.finditer(text)
+    words: list[tuple[int, int, str, bool]] = []  # start, end, lower-cased, first of its line
+    begin, fresh, end = 0, True, 0
+    while fresh:
+        more = [(m.start(), m.end(), m.group()) for m in islice(found, BLOCK)]
+        fresh = len(more) == BLOCK
+        for a, b, word in more:
+            words.append((a, b, word.lower(), not end or text.find("\n", end, a) >= 0))
+            end = b
+        if not words:
+            return
+        hashes = np.fromiter((xxhash.xxh3_64_intdigest(w[2]) for w in words), np.uint64, len(words))
+        dense = np.fromiter((DENSE.match(w[2]) is not None for w in words), bool, len(words))
+        stops = np.fromiter((w[2][-1] in STOPS for w in words), bool, len(words))
+        opens = np.fromiter((w[3] for w in words), bool, len(words))
+        size = np.where(dense, 1, 2)
+        sure = len(words) - context if fresh else len(words)
+        ends = np.flatnonzero(_cuts(hashes, dense, stops, opens, reach)[: max(0, sure)]).tolist()
+        for e in [*ends, None]:
+            stop = sure if e is None else e + 1
+            while begin < stop:
+                forced = stop - begin >= LONGEST + least
+                if e is None and not forced:
+                    break
+                till = begin + LONGEST if forced else stop
+                if size[begin:till].sum() >= 2 * least:
+                    held = " ".join([w[2] for w in words[begin:till]])
+                    yield words[begin][0], words[till - 1][1], xxhash.xxh3_128_digest(held.encode())
+                begin = till
+        drop = max(0, begin - context)
+        words, begin = words[drop:], begin - drop
 
 
 def unit_column(close: int = CLOSE, least: int = LEAST):
