@@ -83,17 +83,25 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def nearest(ids: np.ndarray, x: np.ndarray, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k rows nearest to q, ties to smaller ids, without the row of id `own`; exact distances."""
+    """The k ids nearest to q, ties to smaller ids, without id `own`; exact distances, of an id's rows the least."""
     far = x @ q
     far = (x * x).sum(axis=1) - 2 * far
     far[ids == own] = np.inf
     if len(far) > k:
-        at = np.flatnonzero(far <= np.partition(far, k - 1)[k - 1] + 1e-9 * (1 + float(q @ q)))
+        least = far
+        if len(np.unique(ids)) < len(ids):
+            _, place = np.unique(ids, return_inverse=True)
+            least = np.full(place.max() + 1, np.inf)
+            np.minimum.at(least, place, far)
+        bound = np.partition(least, k - 1)[k - 1] if len(least) > k else np.inf
+        at = np.flatnonzero(far <= bound + 1e-9 * (1 + float(q @ q)))
     else:
         at = np.arange(len(far))
     at = at[ids[at] != own]
     score = np.sqrt(((x[at] - q) ** 2).sum(axis=1))
-    order = np.lexsort((ids[at], score))[:k]
+    order = np.lexsort((ids[at], score))
+    _, first = np.unique(ids[at][order], return_index=True)
+    order = order[np.sort(first)[:k]]
     return ids[at][order], score[order]
 
 
@@ -102,14 +110,15 @@ def vectors(embeddings: DataFrame) -> DataFrame:
     v = F.col("embedding").cast("array<double>")
     finite = F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     fine = finite & F.exists(v, lambda c: c != 0)
-    return embeddings.where(F.col("vec_id").isNotNull()).select("vec_id", v.alias("v")).where(F.coalesce(fine, F.lit(False)))
+    named = embeddings.where(F.col("vec_id").isNotNull()).select("vec_id", v.alias("v"))
+    return named.where(F.coalesce(fine, F.lit(False))).distinct()
 
 
 def search(embeddings: DataFrame, every: int = 100, k: int = 10, trees: int = TREES, depth: int = DEPTH, enough: float = ENOUGH, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found for every row whose vec_id is divisible by `every`."""
     spark = embeddings.sparkSession
     schema = "query_id bigint, rank int, vec_id bigint, score double"
-    held = vectors(embeddings)
+    held = durable(vectors(embeddings), "vectors")
     lengths = held.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     if not lengths:
         return spark.createDataFrame([], schema)
@@ -134,7 +143,7 @@ def search(embeddings: DataFrame, every: int = 100, k: int = 10, trees: int = TR
         counts[r.t, r.s] = r.n
     rows = int(counts[0].sum())
 
-    asked = durable(data.where(F.col("vec_id") % every == 0).distinct(), "queries")
+    asked = durable(data.where(F.col("vec_id") % every == 0), "queries")
     n_queries = asked.count()
     blocks = max(1, -(-n_queries // block))
     found = None
