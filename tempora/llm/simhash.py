@@ -12,7 +12,7 @@ yields a spanning forest of its links, never all pairs. Components come from con
 round a written table.
 
 Edge cases: null or word-less texts have fingerprint zero and link like any other; repeated rows each return a row;
-rows with a null doc_id are kept and take part, but a null never is a component's smallest id while another exists.
+rows with a null doc_id take part, but a null never is a component's smallest id while another exists.
 """
 
 from __future__ import annotations
@@ -60,8 +60,8 @@ def fingerprint(text: bytes | None, width: int) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 5) -> DataFrame:
-    """(doc_id, fp): one row for each row of docs; fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, width: int = 5, beside: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp) and the columns `beside`: one row for each row of docs; fp is the fingerprint as a signed long."""
 
     @F.arrow_udf("bigint")
     def simhash(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -71,7 +71,7 @@ def fingerprints(docs: DataFrame, width: int = 5) -> DataFrame:
         texts = None
         give_back()
 
-    return docs.select("doc_id", simhash(utf8()).alias("fp"))
+    return docs.select("doc_id", *beside, simhash(utf8()).alias("fp"))
 
 
 def covering_masks(radius: int, bits: int = 64) -> list[int]:
@@ -216,17 +216,22 @@ def components(edges: DataFrame) -> DataFrame | None:
     return labels
 
 
-def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 5) -> DataFrame:
-    """(doc_id, fp, component_id), one row for each row of docs."""
-    prints = durable(fingerprints(docs, width), "fingerprints")
-    distinct = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+def _rooted(prints: DataFrame, radius: int, least) -> DataFrame:
+    """(fp, root, least): a common root for the fingerprints of each component, with the aggregate `least` of each one's rows."""
+    distinct = durable(prints.groupBy("fp").agg(least.alias("least")), "distinct")
     roots = components(links(distinct.select("fp"), radius))
     if roots is None:
-        return prints.join(distinct.withColumnRenamed("least", "component_id"), "fp").select("doc_id", "fp", "component_id")
-    placed = durable(
+        return distinct.select("fp", F.col("fp").alias("root"), "least")
+    return durable(
         distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"),
         "placed",
     )
+
+
+def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 5) -> DataFrame:
+    """(doc_id, fp, component_id), one row for each row of docs."""
+    prints = durable(fingerprints(docs, width), "fingerprints")
+    placed = _rooted(prints, radius, F.min("doc_id"))
     # Written, so that the join stands on shuffles of its own, which Spark can split at a large component.
     smallest = durable(placed.groupBy("root").agg(F.min("least").alias("component_id")), "smallest")
     final = durable(placed.join(smallest, "root").select("fp", "component_id"), "components")
@@ -234,13 +239,12 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 5) -> DataFra
 
 
 def keep_one(docs: DataFrame, radius: int = 4, width: int = 5) -> DataFrame:
-    """docs without near-duplicates: of each component the row with the smallest doc_id stays.
-
-    Of rows that repeat that doc_id one stays. Rows without a doc_id cannot be addressed and all stay.
-    """
-    kept = near_duplicates(docs, radius, width).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return named.unionByName(docs.where(F.col("doc_id").isNull()))
+    """docs without near-duplicates: of each component the row of the smallest (doc_id, row) stays, null ids last."""
+    rows = durable(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    prints = durable(fingerprints(rows, width, ("__row",)), "fingerprints")
+    rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("doc_id"), F.col("__row").alias("row"))
+    least = _rooted(prints, radius, F.min(rank)).groupBy("root").agg(F.min("least").alias("least"))
+    return rows.join(least.select(F.col("least.row").alias("__row")), "__row", "left_semi").select(*docs.columns)
 
 
 def hex16(column: str):
