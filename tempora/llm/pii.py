@@ -31,16 +31,19 @@ BASE = {
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
+#: Where a number written with blanks, dots or dashes may start: not inside another.
+NOT_INSIDE = r"(?<![0-9+(./-])(?<![0-9)] )"
 #: Wider nets: (kind, pattern, a cheap test that a text can match at all).
 WIDER = (
     ("email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++ ?[\[(]at[\])] ?[A-Za-z0-9-]++(?:(?:\.| ?[\[(]dot[\])] ?)[A-Za-z0-9-]++)++", r"[\[(]at[\])]"),
-    ("phone", r"(?<![0-9+(. -])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])", r"[0-9]{3}[ .-][0-9]{4}"),
+    ("phone", NOT_INSIDE + r"(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9]|[ .-][0-9])", r"[0-9]{3}[ .-][0-9]{4}"),
+    ("phone", NOT_INSIDE + r"(?=(?:[ ./()-]{0,2}[0-9]){9,12}(?![ ./-]?[0-9]))(?:\(0[0-9]{1,4}\) ?|0[0-9]{1,4}[ ./-])[0-9]{2,8}(?:[ .-][0-9]{2,4}){0,4}(?![0-9])", r"0[0-9]{1,4}\)?[ ./-]?[0-9]"),
 )
 #: Characters of context on each side.
 CONTEXT = 16
 #: Spans placed at once; three levels of pieces keep the cost near linear up to millions of spans a text.
 PIECE = 64
-N_FEATURES = 11
+N_FEATURES = 16
 
 
 def _spans(text: Column, pattern: str, possible: Column) -> Column:
@@ -141,6 +144,20 @@ def features(k: int, s: Column) -> list[Column]:
         flag(before.rlike(r"[A-Za-z0-9@.+%_\"'=-]$")),
         flag(after.rlike(r"^(?:[A-Za-z0-9@%_\"']|[.-][0-9A-Za-z])")),
         flag(F.lower(before).rlike(r"(?:card|phone|tel|call|mail|mobile|fax|address|contact)")),
+        *(_layout(m) if k == 3 else [F.lit(-1)] * 5),
+    ]
+
+
+def _layout(m: Column) -> list[Column]:
+    """How a telephone number is written: area code in brackets, kinds of separators after it, groups, leading digits."""
+    rest = F.regexp_replace(m, r"^\([0-9]+\) ?", "")
+    kinds = [rest.contains(c).cast("int") for c in (" ", ".", "-", "/")]
+    return [
+        m.startswith("(").cast("int"),
+        kinds[0] + kinds[1] + kinds[2] + kinds[3],
+        F.size(F.split(m, "[^0-9]+")),
+        m.rlike(r"^\(?[2-9][0-9]{2}[) .-]{1,2}[2-9][0-9]{2}[ .-][0-9]{4}$").cast("int"),
+        F.when(m.rlike(r"^\(?0[1-9]") & ~m.rlike(r"[.].*[.].*[.]"), 1).otherwise(0),
     ]
 
 
@@ -224,7 +241,14 @@ def _altered(kind: str, m: str, rnd: random.Random) -> list[tuple[str, int]]:
         return [(m.replace("@", " [at] "), 1), (m.replace("@", "(at)"), 1), (m.split("@")[0] + " [at] " + str(rnd.randrange(99)), 0)]
     if kind == "phone" and len(d) >= 10:
         t = d[-10:]
-        return [(f"({t[:3]}) {t[3:6]}-{t[6:]}", 1), (f"{t[:3]}-{t[3:6]}-{t[6:]}", 1), (f"{t[:3]}.{t[3:6]}.{t[6:]}", 1), (f"{t[:3]} {t[3:6]} {t[6:]}", 0)]
+        a, b, c = str(rnd.randrange(2, 10)) + t[1:3], str(rnd.randrange(2, 10)) + t[4:6], t[6:]
+        good = [f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}"]
+        z = "0" + str(rnd.randrange(1, 10)) + t[1]
+        good += [f"{z} {t[2:6]} {t[6:]}", f"{z} {t[2:9]}", f"{z}-{t[2:9]}", f"{z}/{t[2:9]}", f"({z}) {t[2:9]}", " ".join([z[:2], t[2:4], t[4:6], t[6:8], t[8:]])]
+        low = str(rnd.randrange(2))
+        bad = [f"{low}{t[1:3]}{s}{b}{s}{c}" for s in " .-"] + [f"{a}{s}{low}{t[4:6]}{s}{c}" for s in " .-"]
+        bad += [f"{a}-{b} {c}", f"{a} {b}.{c}", f"{a}.{b}-{c}", f"00{t[1:3]} {t[2:8]}", f"00 {t[2:4]} {t[4:6]} {t[6:8]} {t[8:]}", f"{z}.{t[2:5]}.{t[5:8]}.{t[8:]}", f"{z}-{t[2:5]} {t[5:9]}"]
+        return [(x, 1) for x in good] + [(x, 0) for x in bad]
     if kind == "card" and len(d) == 16:
         wrong = d[:-1] + str((int(d[-1]) + rnd.randrange(1, 10)) % 10)
         return [(" ".join(d[i : i + 4] for i in range(0, 16, 4)), 1), (wrong, 0), (d[: rnd.randrange(2, 14)], 0), (d + d[:6], 0)]
