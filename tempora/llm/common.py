@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 
@@ -28,9 +29,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a folder of our own only where the session names none (tests)."""
+    """The folder all executors share. Where the session names none, a folder of our own if all runs in one process."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("on a cluster, set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="tempora-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -55,6 +58,15 @@ def discard(df: DataFrame) -> None:
         target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    name = f"__{name}"
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def give_back() -> None:
     """Return freed memory to the system at a task's end: Python workers outlive their tasks and would sit on it."""
     pa.default_memory_pool().release_unused()

@@ -4,7 +4,8 @@ import corpus_pipeline
 from pyspark.sql import functions as F
 
 from tempora.llm import quality
-from tests.llm.test_llm import slow_components, slow_fingerprint, slow_hits
+from tests.llm.test_llm import slow_hits
+from tests.llm.test_shingles import slow_kept, slow_set
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,8 +21,8 @@ def test_pipeline(spark):
     assert first.columns == docs.columns and {r.doc_id for r in first.collect()} == scores
 
     second = stages["simhash near-dedup"](spark, first, SF)
-    roots = slow_components({r.doc_id: slow_fingerprint(r.text, 5) for r in first.collect()}, 4)
-    assert second.columns == docs.columns and {r.doc_id for r in second.collect()} == set(roots.values())
+    kept = slow_kept({r.doc_id: slow_set(r.text) for r in first.collect()})  # five words, a similarity of 0.8 or more
+    assert second.columns == docs.columns and {r.doc_id for r in second.collect()} == kept
 
     third = stages["benchmark decontamination"](spark, second, SF)
     items = [(r.item_id, r.text) for r in bench.collect()]
@@ -34,5 +35,3 @@ def test_pipeline(spark):
     words = third.withColumn("n", F.size(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))).agg(F.sum("n")).first()[0]
     mixed = whole.withColumn("n", F.size(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))).agg(F.sum("n")).first()[0]
     assert 1.2 * words < mixed < 1.8 * words
-
-
