@@ -28,11 +28,14 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, unused
 
 CLOSE, LEAST = 8, 5
+#: Words of a run of repeated units that goes.
+RUN = 20
 #: Words after which a line without any other cut is cut.
 LONGEST = 32
 #: Words read at once.
@@ -42,7 +45,7 @@ _DENSE = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3001-\u312f\u31a0-\u31ff\u340
 WORD = re.compile(rf"[{_DENSE}]|[^\s{_DENSE}]+")
 DENSE = re.compile(f"[{_DENSE}]")
 STOPS = frozenset(".!?\u3002\uff01\uff1f\uff61")
-UNIT = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())])
+UNIT = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())])
 
 
 def _cuts(hashes: np.ndarray, dense: np.ndarray, stops: np.ndarray, opens: np.ndarray, reach: int) -> np.ndarray:
@@ -64,8 +67,8 @@ def _cuts(hashes: np.ndarray, dense: np.ndarray, stops: np.ndarray, opens: np.nd
     return last | (keys < around)
 
 
-def units(text: str | None, close: int = CLOSE, least: int = LEAST) -> Iterator[tuple[int, int, bytes]]:
-    """(start, end, digest) of each unit of at least `least` words."""
+def units(text: str | None, close: int = CLOSE, least: int = LEAST) -> Iterator[tuple[int, int, int, bytes]]:
+    """(start, end, words, digest) of each unit of at least `least` words."""
     if not text:
         return
     reach = max(1, close // 2)
@@ -95,57 +98,64 @@ def units(text: str | None, close: int = CLOSE, least: int = LEAST) -> Iterator[
                 if e is None and not forced:
                     break
                 till = begin + LONGEST if forced else stop
-                if size[begin:till].sum() >= 2 * least:
+                held_size = int(size[begin:till].sum())
+                if held_size >= 2 * least:
                     held = " ".join([w[2] for w in words[begin:till]])
-                    yield words[begin][0], words[till - 1][1], xxhash.xxh3_128_digest(held.encode())
+                    yield words[begin][0], words[till - 1][1], held_size // 2, xxhash.xxh3_128_digest(held.encode())
                 begin = till
         drop = max(0, begin - context)
         words, begin = words[drop:], begin - drop
 
 
 def unit_column(close: int = CLOSE, least: int = LEAST):
-    @F.arrow_udf("array<struct<start: int, end: int, h1: bigint, h2: bigint>>")
+    @F.arrow_udf("array<struct<start: int, end: int, words: int, h1: bigint, h2: bigint>>")
     def split(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            starts, ends, digests, offsets = [], [], [], [0]
+            starts, ends, words, digests, offsets = [], [], [], [], [0]
             for x in texts:
-                for a, b, d in units(x.as_py(), close, least):
+                for a, b, n, d in units(x.as_py(), close, least):
                     starts.append(a)
                     ends.append(b)
+                    words.append(n)
                     digests.append(d)
                 offsets.append(len(starts))
             h = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-            values = [pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())]
+            values = [pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(words, pa.int32()), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())]
             yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(values, fields=list(UNIT)))
 
     return split
 
 
-def removals(rows: DataFrame) -> DataFrame:
+def removals(rows: DataFrame, run: int = RUN) -> DataFrame:
     """rows: (row, doc_id, units). (row, doc_id, start, end, kept_in): the occurrences that go, with the id that keeps them."""
-    found = rows.select("row", "doc_id", F.explode("units").alias("u")).select("row", "doc_id", "u.*")
+    found = rows.select("row", "doc_id", F.size("units").alias("whole"), F.posexplode("units").alias("place", "u")).select("row", "doc_id", "whole", "place", "u.*")
     rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row", "start")
     # Written, so that the join stands on shuffles of its own, which Spark can split at a hot digest.
     firsts = durable(
         found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("first")).where("n > 1").select("h1", "h2", "first"),
         "firsts",
     )
-    return found.join(firsts, ["h1", "h2"]).where(rank != F.col("first")).select("row", "doc_id", "start", "end", F.col("first.doc_id").alias("kept_in"))
+    more = found.join(firsts, ["h1", "h2"]).where(rank != F.col("first")).select("row", "doc_id", "whole", "place", "start", "end", "words", F.col("first.doc_id").alias("kept_in"))
+    # Written for the same reason: what follows needs a text's units together, at most one text's in a group.
+    more = durable(more, "repeats").withColumn("island", F.col("place") - F.row_number().over(W.partitionBy("row").orderBy("place")))
+    together = W.partitionBy("row", "island")
+    held = more.withColumn("run", F.sum("words").over(together)).withColumn("all", F.count(F.lit(1)).over(together) == F.col("whole"))
+    return held.where((F.col("run") >= run) | F.col("all")).select("row", "doc_id", "start", "end", "kept_in")
 
 
-def _per_row(rows: DataFrame) -> DataFrame:
-    return removals(rows).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kept_in"))).alias("removed"))
+def _per_row(rows: DataFrame, run: int) -> DataFrame:
+    return removals(rows, run).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kept_in"))).alias("removed"))
 
 
-def repeated_units(docs: DataFrame, close: int = CLOSE, least: int = LEAST) -> DataFrame:
+def repeated_units(docs: DataFrame, close: int = CLOSE, least: int = LEAST, run: int = RUN) -> DataFrame:
     """(doc_id, n_units, n_removed, removed_chars, removed) for each row of docs; removed: array of (start, end, kept_in)."""
     rows = durable(
         docs.select("doc_id", unit_column(close, least)("text").alias("units")).withColumn("row", F.monotonically_increasing_id()), "units"
     )
     counts = rows.select("row", "doc_id", F.size("units").alias("n_units"))
-    none = F.array().cast("array<struct<start: int, end: int, kept_in: bigint>>")
+    none = F.array().cast(f"array<struct<start: int, end: int, kept_in: {docs.schema['doc_id'].dataType.simpleString()}>>")
     return (
-        counts.join(_per_row(rows), "row", "left")
+        counts.join(_per_row(rows, run), "row", "left")
         .withColumn("removed", F.coalesce("removed", none))
         .select(
             "doc_id",
@@ -157,21 +167,16 @@ def repeated_units(docs: DataFrame, close: int = CLOSE, least: int = LEAST) -> D
     )
 
 
-def remove_repeats(docs: DataFrame, close: int = CLOSE, least: int = LEAST) -> DataFrame:
-    """docs with repeated units cut out of text, and __removed: the original offsets of what went."""
-    rows = durable(
-        docs.withColumn("__units", unit_column(close, least)("text")).withColumn("__row", F.monotonically_increasing_id()), "units"
-    )
-    gone = _per_row(rows.select(F.col("__row").alias("row"), "doc_id", F.col("__units").alias("units"))).select(
-        F.col("row").alias("__row"), F.col("removed").alias("__removed")
-    )
-    out = rows.join(gone, "__row", "left")
-    kept = F.aggregate(
-        "__removed",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("text")),
-        lambda acc, s: F.struct(
-            s["end"].alias("at"), F.concat(acc["text"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])).alias("text")
-        ),
-        lambda acc: F.concat(acc["text"], F.substring(F.col("text"), acc["at"] + 1, F.length("text") - acc["at"])),
-    )
-    return out.withColumn("text", F.when(F.col("__removed").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns, "__removed")
+def remove_repeats(docs: DataFrame, close: int = CLOSE, least: int = LEAST, run: int = RUN) -> DataFrame:
+    """docs with repeated units cut out of text, and __removed (with more underscores if docs has such a column): the
+    original offsets of what went, null where nothing did."""
+    own, row, gone = unused(docs, "units"), unused(docs, "row"), unused(docs, "removed")
+    rows = durable(docs.withColumn(own, unit_column(close, least)("text")).withColumn(row, F.monotonically_increasing_id()), "units")
+    found = _per_row(rows.select(F.col(row).alias("row"), "doc_id", F.col(own).alias("units")), run)
+    out = rows.join(found.select(F.col("row").alias(row), F.col("removed").alias(gone)), row, "left")
+    # What stays lies between the spans that go: each piece is cut out once.
+    ends = F.concat(F.array(F.lit(0)), F.transform(gone, lambda s: s["end"]))
+    starts = F.concat(F.transform(gone, lambda s: s["start"]), F.array(F.char_length("text")))
+    kept = F.array_join(F.zip_with(ends, starts, lambda a, b: F.substr(F.col("text"), a + 1, b - a)), "")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    return out.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept)).select(*names, gone)

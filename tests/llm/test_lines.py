@@ -27,9 +27,9 @@ PASSAGES = {
 def test_most_of_a_passage_is_shared_at_any_offset(kind, offset):
     passage = PASSAGES[kind]
     a, b = (f"{' '.join(words(n))} {passage} {' '.join(words(7))}" for n in (23, offset))
-    known = {d for _, _, d in lines.units(a)}
+    known = {u[-1] for u in lines.units(a)}
     at = b.index(passage)
-    found = [(s, e) for s, e, d in lines.units(b) if d in known]
+    found = [(s, e) for s, e, _, d in lines.units(b) if d in known]
     assert all(at <= s and e <= at + len(passage) for s, e in found)
     assert sum(e - s for s, e in found) > 0.4 * len(passage)
 
@@ -37,7 +37,7 @@ def test_most_of_a_passage_is_shared_at_any_offset(kind, offset):
 def test_blocks_do_not_matter(monkeypatch):
     text = "\n".join(" ".join(words(RND.randrange(0, 90))) for _ in range(60)) + " tic tac" * 200 + PASSAGES["han"] + " x" * 300
     whole = list(lines.units(text))
-    assert all(e <= s for (_, e, _), (s, _, _) in zip(whole, whole[1:], strict=False))
+    assert all(e <= s for (_, e, *_), (s, *_) in zip(whole, whole[1:], strict=False))
     for block in (1, 7, 50, 333):
         monkeypatch.setattr(lines, "BLOCK", block)
         assert list(lines.units(text)) == whole
@@ -46,8 +46,8 @@ def test_blocks_do_not_matter(monkeypatch):
 def test_repeated_lines_go_whole():
     line = " ".join(words(45))
     spans = list(lines.units(f"{' '.join(words(9))}\n{line}\n{' '.join(words(30))}\n{line}"))
-    known = [d for _, _, d in lines.units(line)]
-    assert [d for _, _, d in spans if d in known] == known * 2
+    known = [u[-1] for u in lines.units(line)]
+    assert [u[-1] for u in spans if u[-1] in known] == known * 2
 
 
 def test_a_passage_inside_longer_lines_is_removed(spark):
@@ -55,3 +55,10 @@ def test_a_passage_inside_longer_lines_is_removed(spark):
     df = spark.createDataFrame([(1, f"{' '.join(words(20))} {passage} {' '.join(words(20))}"), (2, f"{' '.join(words(3))} {passage}")], "doc_id bigint, text string")
     got = {r.doc_id: r for r in lines.repeated_units(df).collect()}
     assert got[1].n_removed == 0 and got[2].removed_chars > 0.4 * len(passage)
+
+
+def test_short_phrases_stay_and_short_copies_go(spark):
+    phrase, other = " ".join(words(12)), " ".join(words(9))
+    data = [(1, f"{' '.join(words(30))}\n{phrase}"), (2, f"{phrase}\n{' '.join(words(30))}"), (3, other), (4, other)]
+    got = {r.doc_id: r for r in lines.repeated_units(spark.createDataFrame(data, "doc_id bigint, text string")).collect()}
+    assert [got[i].n_removed for i in (1, 2, 3)] == [0, 0, 0] and got[4].n_removed == got[4].n_units > 0
