@@ -10,7 +10,9 @@ Rows of equal hash (repeats of an id) are taken together. The rows at which the
 to the target. Sources are one aggregate row each; their targets are computed in SQL, not on the driver.
 
 Edge cases: null texts have size 0; a null source is a source, last in order; null ids hash as the empty text; a
-source of size 0 has target 0 and takes nothing; repeated rows all count; an empty table gives an empty table.
+source of size 0 has target 0 and takes nothing, and a source that stops at its cap takes that many copies of each row and
+none more, also of rows of size 0; repeated rows all count; very long texts count whole; an empty table gives an empty
+table; columns of docs may have any names beside doc_id, text and source.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACED_WORD, durable
+from .common import SPACED_WORD, durable, unused
 
 #: Bits a level, levels of histograms, and bits of the hash.
 STEP, LEVELS, BITS = 12, 2, 60
@@ -97,41 +99,35 @@ def thresholds(slim: DataFrame, goals: DataFrame) -> DataFrame:
     # Where all hashes of the last boundary bucket go in, the threshold is that bucket's end.
     cut = edge.select("s", F.col("prefix").alias("below"))
     joined = plan.join(ends, plan["source"].eqNullSafe(ends["s2"]), "left").join(cut, plan["source"].eqNullSafe(cut["s"]), "left")
-    return joined.select("source", "source_size", "target", "base", F.coalesce("below", "end", F.lit(1 << BITS)).alias("below"))
+    return joined.select(plan["source"], "source_size", "target", "base", F.when(plan["budget"] > 0, F.coalesce("below", "end", F.lit(1 << BITS))).otherwise(F.lit(0)).alias("below"))
 
 
-def decide(docs: DataFrame) -> DataFrame:
-    """thresholds() for docs (doc_id, text, source); its slim table is written once."""
-    slim = durable(docs.select("source", hash60(F.col("doc_id")).alias("h"), words().alias("size")), "sizes")
+def decide(slim: DataFrame) -> DataFrame:
+    """thresholds() for slim (source, h, size), a written table."""
     sizes = durable(slim.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
-    return durable(thresholds(slim, targets(sizes)), "thresholds")
-
-
-def _copies(docs: DataFrame, cuts: DataFrame) -> DataFrame:
-    """docs with __op5_* columns: the source's row of cuts and the copies of this row. Spark joins by the cuts' size."""
-    cuts = cuts.select(*[F.col(c).alias(f"__op5_{c}") for c in cuts.columns])
-    more = (hash60(docs["doc_id"]) < F.col("__op5_below")).cast("long")
-    return docs.join(cuts, docs["source"].eqNullSafe(cuts["__op5_source"])).withColumn("__op5_copies", F.col("__op5_base") + more)
+    return durable(thresholds(slim.select("source", "h", "size"), targets(sizes)), "thresholds")
 
 
 def mixture(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken) for each row of docs."""
-    slim = docs.select("doc_id", "source", words().alias("size"))
-    return _copies(slim, decide(docs)).select(
-        "doc_id",
-        "source",
-        "size",
-        F.col("__op5_source_size").alias("source_size"),
-        F.col("__op5_target").alias("target"),
-        F.col("__op5_copies").alias("copies"),
-        (F.col("size") * F.col("__op5_copies")).alias("taken"),
+    """(doc_id, source, size, source_size, target, copies, taken) for each row of docs. Texts are read once."""
+    slim = durable(docs.select("doc_id", "source", hash60(F.col("doc_id")).alias("h"), words().alias("size")), "sizes")
+    cuts = decide(slim).withColumnRenamed("source", "of")
+    return (
+        slim.join(cuts, slim["source"].eqNullSafe(cuts["of"]))  # Spark joins by the cuts' size: one row a source
+        .withColumn("copies", F.col("base") + (F.col("h") < F.col("below")).cast("long"))
+        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
     )
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """docs as mixed: each row as often as it is taken, so some rows not at all and some twice."""
-    out = _copies(docs, decide(docs))
-    return out.withColumn("__op5_copy", F.explode(F.array_repeat(F.lit(1), F.col("__op5_copies").cast("int")))).select(*[docs[c] for c in docs.columns])
+    slim = durable(docs.select("source", hash60(F.col("doc_id")).alias("h"), words().alias("size")), "sizes")
+    cuts = decide(slim)
+    of, base, below, copy = (unused(docs, c) for c in ("source", "base", "below", "copy"))
+    cuts = cuts.select(F.col("source").alias(of), F.col("base").alias(base), F.col("below").alias(below))
+    copies = F.col(base) + (hash60(F.col("doc_id")) < F.col(below)).cast("long")
+    out = docs.join(cuts, F.col("source").eqNullSafe(F.col(of))).withColumn(copy, F.explode(F.array_repeat(F.lit(1), copies.cast("int"))))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 ORACLE = r"""

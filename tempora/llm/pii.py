@@ -367,6 +367,6 @@ def redact(docs: DataFrame, model: Model, mark: str = "*") -> DataFrame:
         F.col("doc_id.text"),
         lambda t, s: F.overlay(t, F.repeat(F.lit(mark), s["e"] - s["s"]), s["s"] + 1, s["e"] - s["s"]),
     )
-    return spans.withColumn("__masked", masked).select("doc_id.*", "__masked").withColumn("text", F.col("__masked")).drop("__masked")
+    return spans.withColumn("masked", masked).select(*[F.col("masked").alias(c) if c.lower() == "text" else F.col(f"doc_id.`{c}`") for c in docs.columns])
 
 

@@ -5,11 +5,13 @@ features are hashed uni- and bigrams of both; a bigram of shapes also says wheth
 value is its share of the text's n-grams times SCALE, so a score is the mean of the weights met: a sparse dot product
 with no look at a text's length, its language column or its source.
 
-Training streams a bounded, hash-chosen sample of labelled rows (`rows`, a parameter) through one task, which holds
-the weights, one Arrow batch and the sparse rows it goes over again (HELD_VALUES). Weights are 2^BITS floats whatever the corpus: that bounds the broadcast.
+Training streams a bounded, hash-chosen sample of labelled rows (`rows`, a parameter) `passes` times over through one task,
+which holds the weights and one Arrow batch: every row is learnt as often as any other, whatever their lengths. Weights
+are 2^BITS floats whatever the corpus: that bounds the broadcast.
 
-Edge cases: null, empty and word-less texts get the score of the bias alone; without labels every score is 0.5;
-every row returns one row; rows with a null label teach nothing.
+Edge cases: null, empty and word-less texts get the score of the bias alone; without labels every score is 0.5; very long
+texts are read whole, PIECE words at a time; every row returns one row; rows with a null label teach nothing, a repeated
+id teaches once; columns of docs may have any names beside doc_id and text.
 """
 
 from __future__ import annotations
@@ -29,8 +31,6 @@ BITS = 18
 SCALE = 24.0
 #: Words taken at once; a longer text is taken in pieces.
 PIECE = 1 << 15
-#: Feature values that training holds for its later passes, 8 bytes each; rows beyond are seen once.
-HELD_VALUES = 8_000_000
 SHAPE = bytes(
     0x41 if 0x41 <= b <= 0x5A else 0x61 if 0x61 <= b <= 0x7A or b >= 0x80 else 0x39 if 0x30 <= b <= 0x39 else b
     for b in range(256)
@@ -48,7 +48,7 @@ class Features:
     def _shape(self, word: bytes) -> int:
         if len(self.shapes) > 200_000:
             self.shapes.clear()
-        code = self.shapes[word] = zlib.crc32(RUN.sub(rb"\1", word)[:12])
+        code = self.shapes[word] = zlib.crc32(RUN.sub(rb"\1", word))
         return code
 
     def of(self, text: bytes | None) -> Iterator[np.ndarray]:
@@ -110,25 +110,21 @@ def train(docs: DataFrame, labels: DataFrame, label: str, keep, rows: int = 6000
     lessons = (
         docs.select("doc_id", utf8().alias("text")).join(F.broadcast(chosen), "doc_id")  # at most `rows` ids
         .groupBy("order", "doc_id", "label").agg(F.min("text").alias("text"))  # a repeated id teaches once
+        .withColumn("pass", F.explode(F.sequence(F.lit(1), F.lit(passes))))
         .repartition(1)
-        .sortWithinPartitions("order", "doc_id")
+        .sortWithinPartitions("pass", "order", "doc_id")
+        .select("label", "text")
     )
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, features, held, room = Leader(**leader), Features(), [], HELD_VALUES
+        model, features = Leader(**leader), Features()
         for batch in batches:
             for y, text in zip(batch.column("label"), batch.column("text"), strict=True):
                 at, x = _row(features, text.as_py())
                 model.learn(at, x, y.as_py())
-                room -= len(at)
-                if room >= 0:
-                    held.append((at.astype(np.int32), x.astype(np.float32), y.as_py()))
-        for _ in range(passes - 1):
-            for at, x, y in held:
-                model.learn(at, x, y)
         w = model.weights(np.arange(len(model.z))).astype(np.float32)
         yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary())], names=["w"])
-        model = features = held = w = batch = None
+        model = features = w = batch = None
         give_back()
 
     found = lessons.mapInArrow(fit, "w binary").collect()

@@ -12,7 +12,9 @@ yields a spanning forest of its links, never all pairs. Components come from con
 round a written table.
 
 Edge cases: null or word-less texts have fingerprint zero and link like any other; repeated rows each return a row;
-rows with a null doc_id take part, but a null never is a component's smallest id while another exists.
+rows with a null doc_id take part, but a null never is a component's smallest id while another exists; very long texts are
+hashed whole, CHUNK shingles at a time; ties cannot be, as ids and rows order; an empty table gives an empty table; columns of
+docs may have any names beside doc_id and text.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, discard, durable, give_back, utf8
+from .common import LOWER, discard, durable, give_back, unused, utf8
 
 SEED = 42
 #: Shingles whose bits are summed at once: 64 bytes each.
@@ -137,7 +139,8 @@ def links(fps: DataFrame, radius: int = 4, block: int = BLOCK) -> DataFrame:
     fps: one column fp of distinct values.
     """
     signed = [m - (1 << 64) if m >> 63 else m for m in covering_masks(radius)]
-    rows = fps.select(
+    # A fingerprint is 8 bytes and becomes many rows: dealt to all tasks first, as its table is a few small files.
+    rows = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp").select(
         "fp",
         F.explode(
             F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(signed)])
@@ -240,11 +243,14 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 5) -> DataFra
 
 def keep_one(docs: DataFrame, radius: int = 4, width: int = 5) -> DataFrame:
     """docs without near-duplicates: of each component the row of the smallest (doc_id, row) stays, null ids last."""
-    rows = durable(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    prints = durable(fingerprints(rows, width, ("__row",)), "fingerprints")
-    rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("doc_id"), F.col("__row").alias("row"))
+    row = unused(docs, "row")
+    rows = durable(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    prints = durable(fingerprints(rows, width, (row,)), "fingerprints")
+    rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("doc_id"), F.col(row).alias("row"))
     least = _rooted(prints, radius, F.min(rank)).groupBy("root").agg(F.min("least").alias("least"))
-    return rows.join(least.select(F.col("least.row").alias("__row")), "__row", "left_semi").select(*docs.columns)
+    # Texts are read against the ids that go, which Spark broadcasts where they are few.
+    gone = durable(prints.select(row).join(least.select(F.col("least.row").alias(row)), row, "left_anti"), "gone")
+    return rows.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def hex16(column: str):

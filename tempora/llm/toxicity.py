@@ -6,21 +6,21 @@ copies of a text and words repeated in a row then teach nothing twice. A token s
 ratio's signed root is `z_least` or more. Every other token costs `drift`, so a text's expected score falls. Ruzzo and Tompa's scan then finds all maximal
 scoring segments in linear time; here it walks the scoring tokens only, since the drift between them is known. Each
 segment's chance of arising in ordinary text is E = K n exp(-lambda S) (Karlin and Altschul), lambda solved from the
-sample's clean texts; a text's evidence is the sum of -ln E over segments with E < 1 and its best one, and a
+sample's clean texts and K fitted to the segments found there; a text's evidence is the sum of -ln E over segments with E < 1 and its best one, and a
 logistic fit of those on the sample gives the probability.
 
 Training streams at most `rows` labelled rows (a parameter) chosen by hash. The lexicon holds only tokens that pass
 that test, so its size is bounded by the sample.
 
 Edge cases: null, empty and word-less texts have no segment and get the score of no evidence; without toxic labels
-every score is that of no evidence, 0.5 if there are no labels at all; every row returns one row.
+every score is that of no evidence, 0.5 if there are no labels at all; very long texts are scanned whole; every row returns
+one row; a repeated id teaches once; columns of docs may have any names beside doc_id and text.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -29,31 +29,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORDS, durable, id_crc, sample_labels, utf8
+from .common import WORDS, durable, give_back, id_crc, sample_labels, utf8
 
 #: Rows whose crc32(doc_id) leaves this remainder are held out.
 FOLDS, HELD = 3, 1
-SEGMENT_K = 0.1
+#: Contexts of tokens that a training task holds at once.
+CONTEXTS = 1 << 17
 
 
 def held_out(doc_id):
     return F.pmod(id_crc(doc_id), F.lit(FOLDS)) == HELD
 
 
-def log_odds(toxic: Counter, clean: Counter, prior: float = 500.0, z_least: float = 4.0) -> dict[bytes, float]:
-    """The log-odds of tokens whose counts tell the classes apart, those for toxic only."""
-    n_toxic, n_clean = sum(toxic.values()), sum(clean.values())
-    total, out = n_toxic + n_clean, {}
-    for token, k in toxic.items():
-        both = k + clean[token]
-        alpha = prior * both / total
-        a, b = k + alpha, clean[token] + alpha
-        delta = math.log(a / max(n_toxic + prior - a, 1e-9)) - math.log(b / max(n_clean + prior - b, 1e-9))
-        parts = ((k, both * n_toxic / total), (clean[token], both * n_clean / total))
-        ratio = 2 * sum(x * math.log(x / e) for x, e in parts if x)
-        if delta > 0 and ratio >= z_least**2:
-            out[token] = delta
-    return out
+def log_odds(t, c, toxic: int, clean: int, prior: float = 500.0):
+    """(delta, ratio) of a token: columns t and c are its counts in toxic and other texts, of `toxic` and `clean` in all.
+
+    delta is the difference of log-odds under a Dirichlet prior of the token's share in both; ratio the likelihood-ratio
+    statistic for its share being the same in both.
+    """
+    both, total = t + c, float(toxic + clean)
+    alpha = F.lit(prior / total) * both
+    odds = lambda k, n: F.log((k + alpha) / F.greatest(F.lit(n + prior) - k - alpha, F.lit(1e-9)))
+    part = lambda k, n: F.when(k > 0, k * F.log(k / (both * F.lit(n / total)))).otherwise(0.0)
+    return odds(t, toxic) - odds(c, clean), 2 * (part(t, toxic) + part(c, clean))
 
 
 @dataclass
@@ -61,6 +59,7 @@ class Model:
     lexicon: dict[bytes, float] = field(default_factory=dict)
     drift: float = 0.25
     rate: float = 1.0
+    k: float = 0.1
     bias: float = 0.0
     slope: tuple[float, float] = (0.0, 0.0)
 
@@ -100,7 +99,7 @@ def scan(model: Model, text: bytes | None) -> tuple[list[tuple[int, int, float]]
 def evidence(model: Model, text: bytes | None) -> tuple[float, float]:
     """(total, best) -ln E of a text's significant segments."""
     found, n = scan(model, text)
-    gains = [model.rate * s - math.log(SEGMENT_K * max(n, 1)) for _, _, s in found]
+    gains = [model.rate * s - math.log(model.k * max(n, 1)) for _, _, s in found]
     gains = [g for g in gains if g > 0]
     return sum(gains), max(gains, default=0.0)
 
@@ -137,34 +136,44 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 6000, z_least: float =
     taught = docs.select("doc_id", utf8().alias("text")).join(F.broadcast(chosen), "doc_id")  # at most `rows` ids
     lessons = durable(taught.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("label", "text"), "lessons")
 
+    def emitted(seen: set) -> pa.RecordBatch:
+        y, token, left = zip(*seen, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(token, pa.binary()), pa.array(left, pa.int64())], names=["y", "token", "left"])
+
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: set[tuple[int, bytes, int]] = set()
             for y, text in zip(batch.column("label").to_pylist(), batch.column("text"), strict=True):
                 words = (text.as_py() or b"").translate(WORDS).split()
-                seen.update(zip([int(y > 0)] * len(words), words, map(zlib.crc32, [b"", *words]), strict=False))
-            rows = list(seen)
-            for at in range(0, len(rows), 1 << 16):
-                y, token, left = zip(*rows[at : at + (1 << 16)], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(token, pa.binary()), pa.array(left, pa.int64())], names=["y", "token", "left"])
+                for at in range(0, len(words), CONTEXTS):
+                    part = words[at : at + CONTEXTS]
+                    before = [words[at - 1] if at else b"", *part]
+                    seen.update(zip([int(y > 0)] * len(part), part, map(zlib.crc32, before), strict=False))
+                    if len(seen) >= CONTEXTS:
+                        yield emitted(seen)
+                        seen = set()
+            if seen:
+                yield emitted(seen)
+        batch = seen = None
+        give_back()
 
     table = lessons.mapInArrow(contexts, "y int, token binary, left bigint").distinct()
     one = lambda y: F.count(F.when(F.col("y") == y, 1))
     wide = table.groupBy("token").agg(one(1).alias("t"), one(0).alias("c"))
-    # Totals first, then the tokens that can pass: at least twice as frequent in toxic texts. Both are bounded by the sample.
     wide = durable(wide, "tokens")
     totals = wide.agg(F.sum("t").alias("t"), F.sum("c").alias("c")).first()
     model = Model()
     if not totals.t:
         n = chosen.count()
         return Model(bias=-math.log(n + 1) if n else 0.0)
-    share = F.lit(2.0 * totals.t / max(totals.c, 1))
-    found = wide.where((F.col("t") >= 3) & (F.col("t") >= share * F.col("c"))).collect()
-    toxic, clean = Counter({bytes(r.token): r.t for r in found}), Counter({bytes(r.token): r.c for r in found})
-    toxic[b""], clean[b""] = totals.t - sum(toxic.values()), totals.c - sum(clean.values())  # all others as one
-    model.lexicon = {k: v for k, v in log_odds(toxic, clean, z_least=z_least).items() if k}
-    tokens = list(model.lexicon)
-    model.rate = _solve_rate([model.lexicon[t] - model.drift for t in tokens], [(clean[t] + 0.5) / (totals.c + 1) for t in tokens], model.drift)
+    delta, ratio = log_odds(F.col("t"), F.col("c"), totals.t, totals.c or 0)
+    # Every token is tested; those that pass stand in the sample's toxic texts, so the sample bounds them.
+    found = wide.select("token", "c", delta.alias("delta"), ratio.alias("ratio")).where((F.col("delta") > 0) & (F.col("ratio") >= z_least**2)).collect()
+    model.lexicon = {bytes(r.token): r.delta for r in found}
+    model.rate = _solve_rate([r.delta - model.drift for r in found], [(r.c + 0.5) / ((totals.c or 0) + 1) for r in found], model.drift)
+    # Segments of clean texts arise at K a token: the likeliest K, given the rate, is their number over the tokens read.
+    calm = lessons.where("label = 0").select(_segment_counts(docs.sparkSession, model)("text").alias("s")).agg(F.sum("s.found").alias("found"), F.sum("s.words").alias("words")).first()
+    model.k = min(1.0, ((calm.found or 0) + 0.5) / ((calm.words or 0) + 1))
     seen = lessons.select("label", evidence_column(docs.sparkSession, model)("text").alias("e")).select("label", "e.*").collect()
     x = np.array([_features(r.total, r.best) for r in seen])
     w = _logistic(x, np.array([float(r.label > 0) for r in seen]))
@@ -172,6 +181,18 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 6000, z_least: float =
     return model
 
 
+def _segment_counts(spark, model: Model):
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.arrow_udf("struct<found: bigint, words: bigint>")
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            rows = [scan(shared.value, x.as_py()) for x in texts]
+            yield pa.StructArray.from_arrays([pa.array([len(s) for s, _ in rows], pa.int64()), pa.array([n for _, n in rows], pa.int64())], names=["found", "words"])
+
+    return count
+
+
 def evidence_column(spark, model: Model):
     shared = spark.sparkContext.broadcast(model)
 
@@ -209,7 +230,7 @@ def toxic_passages(docs: DataFrame, model: Model) -> DataFrame:
             out = []
             for x in texts:
                 found, n = scan(own, x.as_py())
-                rows = [(a, b, s, SEGMENT_K * n * math.exp(-own.rate * s)) for a, b, s in found]
+                rows = [(a, b, s, own.k * n * math.exp(-own.rate * s)) for a, b, s in found]
                 out.append([dict(zip(("first", "last", "score", "e_value"), r, strict=True)) for r in rows if r[3] < 1])
             yield pa.array(out, kind)
 

@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -148,13 +149,13 @@ def test_tokens(spark, odd_docs, no_docs):
     assert tokens.token_counts(no_docs, path).count() == 0
     counter, rnd = tokens.Counter(open(path, "rb").read()), random.Random(4)
     bits = ["a", " ", "  ", "\n", "the", "▁", "é", "\t", "\r", "日", ".", " The", "ing", "\x00", "<s>"]
-    old, tokens.SEGMENT = tokens.SEGMENT, 7
+    old, tokens.SEGMENT, tokens.SHORT, tokens.LOT = (tokens.SEGMENT, tokens.SHORT, tokens.LOT), 7, 3, 9
     try:
         for _ in range(1500):
             t = "".join(rnd.choice(bits) for _ in range(rnd.randrange(20)))
-            assert counter.count(t) == len(whole.encode(t)), repr(t)
+            assert counter.counts([t, None, t]) == [len(whole.encode(t)), 0, len(whole.encode(t))], repr(t)
     finally:
-        tokens.SEGMENT = old
+        tokens.SEGMENT, tokens.SHORT, tokens.LOT = old
 
 
 # --- classifiers ---
@@ -257,6 +258,8 @@ def test_mixing(spark, odd_docs, no_docs):
         assert mixed.columns == df.columns and mixed.count() == sum(r.copies for r in got)
         assert sorted(map(str, mixing.mixture(df.repartition(5)).collect())) == sorted(map(str, got))
     assert mixing.mixture(no_docs).count() == 0 and mixing.mix(no_docs).count() == 0
+    capped = spark.createDataFrame([(i, "w" if i % 2 else "", "en", "a", 0) for i in range(20)] + [(99, "w " * 1000, "en", "b", 0)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert {r.copies for r in mixing.mixture(capped).collect() if r.source == "a"} == {2} and mixing.mix(capped).where("source = 'a'").count() == 40
 
 
 def test_mixing_levels_agree_with_a_sort(spark):
@@ -299,8 +302,33 @@ def test_sharding(spark, odd_docs, no_docs):
         for k, r in enumerate(sorted(got, key=lambda r: (r.shard, r.slot))):
             place.setdefault(text[r.doc_id], []).append(k)
         assert all(p[-1] - p[0] == len(p) - 1 for p in place.values())
-        assert sharding.shard_documents(df).columns[: len(df.columns)] == df.columns or "shard" in df.columns
-    assert sharding.shard_assignments(no_docs).count() == 0
+        whole = sharding.shard_documents(df)
+        assert whole.columns == [*df.columns, "__shard" if "shard" in df.columns else "shard", "slot"]
+        by_shard = Counter(r[-2] for r in whole.collect())
+        assert sum(by_shard.values()) == n and max(by_shard.values()) - min(by_shard[s] for s in range(40)) <= 1
+    assert sharding.shard_assignments(no_docs).count() == 0 and sharding.shard_documents(no_docs).count() == 0
+
+
+def test_shards_prune_in_every_dimension(spark, tmp_path):
+    """Shards whose min and max admit a value, over all values of each dimension: fewer than after a plain sort."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("size", sharding.sizes())
+
+    def read(shards):
+        by = {}
+        for r in shards:
+            by.setdefault(r[0], []).append(r[1:])
+        total = 0
+        for d in range(3):
+            values = [r[d + 1] for r in shards]
+            total += sum(sum(min(x[d] for x in s) <= v <= max(x[d] for x in s) for s in by.values()) for v in values) / len(values)
+        return total
+
+    got = [(r.shard, r.lang, r.source, r.size) for r in sharding.shard_documents(docs).collect()]
+    plain = sorted(g[1:] for g in got)
+    assert read(got) < 0.8 * read([(k * 40 // len(plain), *r) for k, r in enumerate(plain)])
+    sharding.write_shards(docs, str(tmp_path / "shards"))
+    again = spark.read.parquet(str(tmp_path / "shards"))
+    assert again.count() == len(got) and sorted(again.select("shard").distinct().toPandas().shard) == list(range(40))
 
 
 # --- line dedup ---
@@ -423,6 +451,14 @@ def test_personal_data(spark, odd_docs, no_docs):
     assert len(pii.personal_data(odd_docs).collect()) == 8 and not pii.personal_data(no_docs).collect()
 
 
+def test_redact(spark, odd_docs, no_docs):
+    model = pii.Model([], {})
+    df = spark.createDataFrame([(1, "to a@b.cd, 1.2.3.4 and on", "x"), (2, None, "y")], "doc_id bigint, text string, __masked string")
+    got = by_id(pii.redact(df, model))
+    assert got[1].text == "to " + "*" * 6 + ", " + "*" * 7 + " and on" and got[1]["__masked"] == "x" and got[2].text == ""
+    assert pii.redact(odd_docs, model).columns == odd_docs.columns and pii.redact(odd_docs, model).count() == 8 and pii.redact(no_docs, model).count() == 0
+
+
 def test_long_runs_cost_linear_time(spark):
     long = [(1, "a" * 200_000), (2, "1" * 200_000), (3, "1 " * 100_000), (4, "a." * 100_000 + "@"), (5, "x@" + "a." * 50_000 + "b"), (6, "+" + "1" * 100_000)]
     df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in long], "doc_id bigint, text string, lang string, source string, n_chars bigint")
