@@ -54,6 +54,21 @@ def compare(a: tuple, predicate: str, b: tuple) -> Column:
     return truth
 
 
+def period_sql(a: tuple, predicate: str, b: tuple) -> str:
+    """compare() as SQL text; bounds are instants (ints) or the text of columns, which may be timestamps."""
+    for start, end in (a, b):
+        period(start if isinstance(start, int) else "x", end if isinstance(end, int) else "x")
+    relation = {
+        "CONTAINS": "{0} <= {2} AND {3} <= {1}", "OVERLAPS": "{0} < {3} AND {2} < {1}", "EQUALS": "{0} = {2} AND {1} = {3}", "PRECEDES": "{1} <= {2}",
+        "SUCCEEDS": "{3} <= {0}", "IMMEDIATELY PRECEDES": "{1} = {2}", "MEETS": "{1} = {2}", "IMMEDIATELY SUCCEEDS": "{0} = {3}",
+    }[predicate]
+    stamped = lambda x: f"{x}L" if x >= 0 else f"(-{-x}L)"
+    bounds = [stamped(x) if isinstance(x, int) else x for x in (*a, *b)]
+    sound = [f"{s} < {e}" for s, e, p in ((bounds[0], bounds[1], a), (bounds[2], bounds[3], b)) if not all(isinstance(x, int) for x in p)]
+    truth = relation.format(*bounds)
+    return f"(CASE WHEN {' AND '.join(sound)} THEN {truth} END)" if sound else f"({truth})"
+
+
 def interval_us(text: str) -> int:
     """Microseconds of "n unit [n unit ...]"."""
     parts = re.findall(r"([+-]?\d+)\s*([A-Za-z]+)", text)

@@ -5,8 +5,10 @@ retractions (key, sys_from, seq, closed_at) that close the version they name. Th
 never stored: it is its retraction or its successor's start, whichever comes first. Instants are bigint microseconds,
 intervals half-open; FOREVER means open and is shown as null.
 
-Reads push what they can below the resolving aggregate: a read as of S filters sys_from <= S on the stored column, so
-Parquet statistics prune files and row groups, and only the columns asked for are carried through max_by.
+Compaction seals versions whose end is known: `sealed` holds them with sys_to, and a read of them is a filter on both bounds,
+without a shuffle. What is left in the log, the versions that were open and those since, is resolved: a read as of S filters
+sys_from <= S on the stored column below the aggregate, so Parquet statistics prune files and row groups, and only the columns
+asked for are carried through max_by.
 """
 
 from __future__ import annotations
@@ -37,6 +39,7 @@ class History:
     columns: tuple[str, ...]  # user columns in order, the key included
     retractions: DataFrame | None = None
     valid: bool = False
+    sealed: DataFrame | None = None
 
     def with_logs(self, versions: DataFrame, retractions: DataFrame | None) -> History:
         return replace(self, versions=versions, retractions=retractions)
@@ -69,11 +72,17 @@ def as_of(h: History, at: int, valid_at: int | None = None, columns=None, hidden
     out = [c for c in (columns or h.columns)]
     if hidden:
         out += [c for c in latest.columns if c not in out]
-    return latest.select(*out)
+    latest = latest.select(*out)
+    if h.sealed is None:
+        return latest
+    closed = h.sealed.where((F.col("sys_from") <= F.lit(at)) & (F.col("sys_to") > F.lit(at)))
+    if valid_at is not None:
+        closed = closed.where((F.col("valid_from") <= F.lit(valid_at)) & (F.col("valid_to") > F.lit(valid_at)))
+    return latest.unionByName(closed.select(*out))
 
 
-def endpoints(h: History, columns=None, slice_us: int | None = None) -> DataFrame:
-    """All versions with sys_from and sys_to; versions overwritten in the same tick are left out.
+def endpoints(h: History, columns=None, slice_us: int | None = None, degenerate: bool = False) -> DataFrame:
+    """All versions with sys_from and sys_to; versions overwritten in the same tick are left out unless `degenerate`.
 
     slice_us: for keys with very many versions. The successor is then found within slices of that much system time,
     and a slice's last version takes the first start of the key's next slice, so no task holds a whole key.
@@ -98,7 +107,10 @@ def endpoints(h: History, columns=None, slice_us: int | None = None) -> DataFram
     else:
         rows = rows.withColumn("_closed", F.lit(None).cast("long"))
     end = F.least(F.coalesce("_closed", F.lit(FOREVER)), F.coalesce("_next", F.lit(FOREVER)))
-    return rows.withColumn("sys_to", end).where("sys_from < sys_to").drop("_next", "_closed")
+    rows = rows.withColumn("sys_to", end).drop("_next", "_closed")
+    if h.sealed is not None:
+        rows = rows.unionByName(h.sealed.select(h.key, "sys_from", "seq", *carried, "sys_to"))
+    return rows if degenerate else rows.where("sys_from < sys_to")
 
 
 def overlap(start: Column, end: Column, low: int, high: int, closed: bool) -> Column:
@@ -137,7 +149,8 @@ def shown(rows: DataFrame, *ends: str) -> DataFrame:
 def history(h: History, key_value=None, now: int = FOREVER) -> DataFrame:
     """(op, sys_from, sys_to, current, provenance, columns...): every version, INSERT or UPDATE by whether it follows on."""
     if key_value is not None:
-        h = h.with_logs(h.versions.where(F.col(h.key) == F.lit(key_value)), h.retractions)
+        own = F.col(h.key) == F.lit(key_value)
+        h = replace(h, versions=h.versions.where(own), sealed=None if h.sealed is None else h.sealed.where(own))
     rows = endpoints(h)
     before = F.lag("sys_to").over(W.partitionBy(h.key).orderBy("sys_from", "seq"))
     rows = rows.withColumn("op", F.when(before == F.col("sys_from"), "UPDATE").otherwise("INSERT"))

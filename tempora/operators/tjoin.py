@@ -36,7 +36,7 @@ def interval_join(
 ) -> DataFrame:
     """left and right hold the period in the columns `ends` (no nulls; open is FOREVER) and no other common names.
 
-    identity: columns that tell left rows apart; all of them if not given. Output: left columns, right columns (INNER
+    identity: columns that tell left rows apart; rows are numbered if none are given. Output: left columns, right columns (INNER
     and LEFT), and the output's period in `ends`.
     """
     how = how.lower().replace("left_", "")
@@ -56,7 +56,9 @@ def interval_join(
         )
     if how not in ("left", "semi", "anti"):
         raise TemporalError(f"no interval form of a {how} join")
-    ids = [*(identity or lcols), start, end]
+    if not identity:
+        left = left.withColumn("_lid", F.monotonically_increasing_id())
+    ids = [*(identity or ["_lid"]), start, end]
     j = left.join(r, met, "left").select(
         *[left[c] for c in left.columns],
         *([r[c] for c in rcols] if how == "left" else []),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -34,18 +35,40 @@ class Files:
             stream.close()
 
     def create(self, text: str, body: str) -> bool:
-        """Write a new file whole; False if one of that name came first."""
+        """Write a new file whole; False if one of that name came first. Of two writers at once only one can win: a hard link
+        (local) or a rename (HDFS) to a name that is taken fails, and elsewhere the store's own create does."""
         p = self.path(text)
         fs = self.fs(p)
+        scheme = fs.getUri().getScheme()
+        if scheme not in ("file", "hdfs", "viewfs"):
+            return self._put(fs, p, body, False)
         tmp = self.path(f"{text}.{self.jvm.java.util.UUID.randomUUID().toString()}.tmp")
-        out = fs.create(tmp, True)
+        self._put(fs, tmp, body, True)
+        try:
+            if scheme == "file":
+                paths = [self.jvm.java.io.File(x.toUri().getPath()).toPath() for x in (fs.makeQualified(p), fs.makeQualified(tmp))]
+                self.jvm.java.nio.file.Files.createLink(*paths)
+                return True
+            return not fs.exists(p) and fs.rename(tmp, p)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in str(e.java_exception):
+                return False
+            raise
+        finally:
+            fs.delete(tmp, False)
+
+    @staticmethod
+    def _put(fs, path, body: str, over: bool) -> bool:
+        try:
+            out = fs.create(path, over)
+        except Py4JJavaError as e:
+            if "AlreadyExists" in str(e.java_exception):
+                return False
+            raise
         try:
             out.write(bytearray(body.encode()))
         finally:
             out.close()
-        if fs.exists(p) or not fs.rename(tmp, p):
-            fs.delete(tmp, False)
-            return False
         return True
 
     def delete(self, text: str) -> None:

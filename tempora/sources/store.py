@@ -2,8 +2,9 @@
 
 A commit writes its version and retraction files first and becomes visible by one manifest, `_commits/<seq>.json`, put
 in place by a rename that fails if another writer took the number: then the writer's key set is checked against what
-came between (first committer wins). Manifests name data folders, carry the schema changes and form a hash chain. Write
-sets are computed by joins against the snapshot; nothing but counts and manifests reaches the driver.
+came between (first committer wins). Manifests name data folders, carry the schema changes and form a hash chain. A
+transaction's number is its commit's. Reads without an instant are as of the last commit, so no commit that is being written
+can fall before one. Write sets are computed by joins against the snapshot; nothing but counts and manifests reaches the driver.
 """
 
 from __future__ import annotations
@@ -59,6 +60,9 @@ class TableDef:
         more = ["sys_from bigint", "seq bigint", *period, "_prov_txn_id bigint", "_prov_committed_at bigint", "_prov_principal string"]
         return T._parse_datatype_string(", ".join([*own, *more]))
 
+    def sealed_schema(self) -> T.StructType:
+        return self.version_schema().add("sys_to", T.LongType())
+
     def retraction_schema(self) -> T.StructType:
         kind = dict(self.columns)[self.key]
         return T._parse_datatype_string(f"`{self.key}` {kind}, sys_from bigint, seq bigint, closed_at bigint, _prov_txn_id bigint, _prov_principal string")
@@ -88,8 +92,8 @@ class Store:
         return self._manifests
 
     def now(self) -> int:
-        last = self.manifests()[-1]["at"] if self.manifests() else 0
-        return max(self.clock(), last)
+        """The instant of the last commit: what is read as of it never changes."""
+        return self.manifests()[-1]["at"] if self.manifests() else self.clock()
 
     def resolve(self, name: str, at: int = FOREVER) -> TableDef:
         """The table's definition as of `at`: a dropped table is still there before its drop."""
@@ -140,7 +144,8 @@ class Store:
             folders = self._folders(name, kind, at)
             return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
 
-        return History(log("versions", d.version_schema()), d.key, tuple(d.payload), log("retractions", d.retraction_schema()), d.valid is not None)
+        sealed = log("sealed", d.sealed_schema()) if self._folders(name, "sealed", at) else None
+        return History(log("versions", d.version_schema()), d.key, tuple(d.payload), log("retractions", d.retraction_schema()), d.valid is not None, sealed)
 
     def read(self, name: str, at: int | None = None, valid_at: int | None = None) -> DataFrame:
         at = self.now() if at is None else at
@@ -168,12 +173,14 @@ class Store:
 
     # --- commits ---
 
-    def _commit(self, txn: Transaction | None = None, ddl: list[dict] | None = None, replaces: dict | None = None, data: dict | None = None) -> int:
+    def _commit(self, txn: Transaction | None = None, ddl: list[dict] | None = None, replaces: dict | None = None, data: dict | None = None, seen: int | None = None) -> int:
         for _ in range(50):
             before = self.manifests()
             seq = len(before) + 1
             at = max(self.clock(), (before[-1]["at"] if before else 0) + 1)
-            number = txn.number if txn else seq
+            if seen is not None and len(before) != seen:
+                raise StoreError("the table changed while it was rewritten", "40001")
+            number = seq
             prev = before[-1]["hash"] if before else GENESIS
             body = {"seq": seq, "txn": number, "at": at, "principal": self.principal, "prev": prev, "hash": chain_hash(number, at, seq, prev), "ddl": ddl or []}
             if data:
@@ -183,6 +190,8 @@ class Store:
             if txn:
                 txn.check()
                 body |= txn.write(at, seq)
+                if txn.batch:
+                    body["batch"] = txn.batch
             if self.files.create(f"{self.root}/_commits/{seq:012d}.json", json.dumps(body)):
                 return at
             self._manifests = before[:]  # another writer took the number: look again
@@ -209,16 +218,25 @@ class Store:
     def merge(self, name: str, source: DataFrame, on: str, matched: dict | None = None, unmatched: dict | None = None) -> int:
         return self._auto(lambda t: t.merge(name, source, on, matched, unmatched))
 
-    def copy_from(self, name: str, path: str, **options) -> int:
-        """Rows of a text or CSV file, all or none: format csv|text, delimiter, null, quote, escape, header."""
+    def copy_rows(self, name: str, path: str, names: list[str] | None = None, **options) -> DataFrame:
+        """The rows of a text or CSV file that holds the columns `names` in that order: format csv|text, delimiter, null, quote,
+        escape, header. Columns not named are null."""
         d = self.resolve(name)
+        kinds = dict(d.columns)
+        names = names or list(kinds)
+        if len(set(names)) < len(names) or not set(names) <= set(kinds):
+            raise StoreError(f"not columns of {name}, each once: {names}", "42703")
         csv = options.get("format", "text").lower() == "csv"
         given = {
             "sep": options.get("delimiter", "," if csv else "\t"), "nullValue": options.get("null", "" if csv else "\\N"), "mode": "FAILFAST",
             "header": str(bool(options.get("header", False))).lower(), "quote": options.get("quote", '"') if csv else "", "escape": options.get("escape", options.get("quote", '"')) if csv else "\\",
         }
-        schema = ", ".join(f"`{c}` {t}" for c, t in d.columns)
-        return self.insert(name, self.spark.read.schema(schema).options(**given).csv(path))
+        rows = self.spark.read.schema(", ".join(f"`{c}` {kinds[c]}" for c in names)).options(**given).csv(path)
+        return rows.withColumns({c: F.lit(None).cast(t) for c, t in kinds.items() if c not in names})
+
+    def copy_from(self, name: str, path: str, names: list[str] | None = None, **options) -> int:
+        """Insert copy_rows(), all or none."""
+        return self.insert(name, self.copy_rows(name, path, names, **options))
 
     # --- introspection ---
 
@@ -245,27 +263,69 @@ class Store:
         return rows.join(self.commits().select(F.col("txn").alias("_prov_txn_id"), "hash", "prev", "linked"), "_prov_txn_id", "left")
 
     def segments(self, name: str) -> DataFrame:
-        """(segment, rows, sys_min, sys_max, key_min, key_max): one row a version file."""
+        """(segment, state, rows, sys_min, sys_max, key_column, key_min, key_max, bytes): one row a version file."""
         h = self.history(name)
-        return h.versions.groupBy(F.input_file_name().alias("segment")).agg(
-            F.count(F.lit(1)).alias("rows"), F.min("sys_from").alias("sys_min"), F.max("sys_from").alias("sys_max"),
-            F.min(h.key).cast("string").alias("key_min"), F.max(h.key).cast("string").alias("key_max"),
-        )
+
+        def of(log: DataFrame, state: str) -> DataFrame:
+            return log.groupBy(F.col("_metadata.file_path").alias("segment"), F.lit(state).alias("state")).agg(
+                F.count(F.lit(1)).alias("rows"), F.min("sys_from").alias("sys_min"), F.max("sys_from").alias("sys_max"), F.lit(h.key).alias("key_column"),
+                F.min(h.key).cast("string").alias("key_min"), F.max(h.key).cast("string").alias("key_max"), F.max("_metadata.file_size").alias("bytes"),
+            )
+
+        parts = [of(h.versions, "open")] if self._folders(name, "versions") else []
+        parts += [of(h.sealed, "sealed")] if h.sealed is not None else []
+        none = "segment string, state string, rows bigint, sys_min bigint, sys_max bigint, key_column string, key_min string, key_max string, bytes bigint"
+        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]) if parts else self.spark.createDataFrame([], none)
 
     def compact(self, name: str) -> int:
-        """Rewrite a table's logs as fewer files in key and time order. No version is lost; old folders stay for backups."""
+        """Rewrite a table's logs as fewer files in key and time order, versions whose end is known sealed with it: later reads
+        filter those on both bounds. No version is lost; old folders stay for backups."""
+        seen = len(self.manifests())
         d, h, tag = self.resolve(name), self.history(name), uuid.uuid4().hex
-        folders = {"versions": f"data/{name}/{tag}/versions", "retractions": f"data/{name}/{tag}/retractions"}
-        h.versions.repartitionByRange(d.key, "sys_from").sortWithinPartitions(d.key, "sys_from").write.parquet(f"{self.root}/{folders['versions']}")
-        h.retractions.write.parquet(f"{self.root}/{folders['retractions']}")
+        folders = {k: f"data/{name}/{tag}/{k}" for k in ("versions", "retractions", "sealed")}
+        whole = timeline.endpoints(h, degenerate=True).cache()
+        closed = F.col("sys_to") < FOREVER
+        try:
+            for kind, rows, schema in (("versions", whole.where(~closed), d.version_schema()), ("sealed", whole.where(closed), d.sealed_schema())):
+                rows = rows.select(*[f.name for f in schema])
+                rows.repartitionByRange(d.key, "sys_from").sortWithinPartitions(d.key, "sys_from").write.parquet(f"{self.root}/{folders[kind]}")
+        finally:
+            whole.unpersist()
+        # Every retraction closed a version, which is sealed now.
+        self.spark.createDataFrame([], d.retraction_schema()).write.parquet(f"{self.root}/{folders['retractions']}")
         data = {k: {name: [v]} for k, v in folders.items()}
-        return self._commit(replaces={name: {"versions": True, "retractions": True}}, data=data)
+        return self._commit(replaces={name: dict.fromkeys(folders, True)}, data=data, seen=seen)
 
     def backup(self, target: str) -> None:
-        """Copy data, then manifests: what a copied manifest names is there."""
+        """Copy data, then manifests: what a copied manifest names is there. `_sums` holds every file's length and SHA-256."""
+        target = target.rstrip("/")
         for part in ("data", "_commits"):
             if self.files.exists(f"{self.root}/{part}"):
-                self.files.copy(f"{self.root}/{part}", f"{target.rstrip('/')}/{part}")
+                self.files.copy(f"{self.root}/{part}", f"{target}/{part}")
+        _sums(self.spark, target).write.parquet(f"{target}/_sums")
+
+    @classmethod
+    def restore(cls, spark: SparkSession, source: str, root: str, **options) -> Store:
+        """A store at `root` from a backup, once every file of it is as its sums say."""
+        source = source.rstrip("/")
+        now, then = _sums(spark, source), spark.read.parquet(f"{source}/_sums")
+        if now.exceptAll(then).unionByName(then.exceptAll(now)).limit(1).count():
+            raise StoreError("the backup does not hold what its sums say", "XX001")
+        files = Files(spark)
+        if files.exists(f"{root.rstrip('/')}/_commits"):
+            raise StoreError("there is a store already", "42P07")
+        for part in ("data", "_commits"):
+            if files.exists(f"{source}/{part}"):
+                files.copy(f"{source}/{part}", f"{root.rstrip('/')}/{part}")
+        return cls(spark, root, **options)
+
+
+def _sums(spark: SparkSession, root: str) -> DataFrame:
+    """(file, length, sha256) of the files of a backup, by their place in it."""
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "[!._]*")
+    parts = [f"{root}/{p}" for p in ("data", "_commits") if Files(spark).exists(f"{root}/{p}")]
+    file = F.regexp_extract("path", "/((?:data|_commits)/[^/].*)$", 1)
+    return read.load(parts).select(file.alias("file"), "length", F.sha2("content", 256).alias("sha256"))
 
 
 class Transaction:
@@ -275,7 +335,8 @@ class Transaction:
         self.store = store
         self.anchor = store.now()
         self.seen = len(store.manifests())
-        self.number = self.seen + 1
+        self.number = self.seen + 1  # shown by reads before the commit, which settles it
+        self.batch: str | None = None
         self.staged: list[tuple[str, str, DataFrame]] = []
         self.marks: dict[str, int] = {}
 
@@ -285,13 +346,18 @@ class Transaction:
     def rollback_to(self, name: str) -> None:
         if name not in self.marks:
             raise StoreError(f"no such savepoint: {name}", "3B001")
-        del self.staged[self.marks[name] :]
+        self._drop(self.marks[name])
 
     def release(self, name: str) -> None:
         self.marks.pop(name, None)
 
     def rollback(self) -> None:
-        self.staged = []
+        self._drop(0)
+
+    def _drop(self, first: int) -> None:
+        for _, _, df in self.staged[first:]:
+            df.unpersist()
+        del self.staged[first:]
 
     def history(self, name: str) -> History:
         """The snapshot with this transaction's writes on top, at the instant after it."""
@@ -404,6 +470,12 @@ class Transaction:
 
         live = self._current(name).select(F.struct("*").alias("_t"), F.col(d.key).alias("_tk"))
         both = s.join(live, s["_k"] == live["_tk"], "left").cache()
+        try:
+            return self._merged(name, d, source, both, live, value, matched, unmatched)
+        finally:
+            both.unpersist()
+
+    def _merged(self, name: str, d: TableDef, source: DataFrame, both: DataFrame, live: DataFrame, value, matched: dict | None, unmatched: dict | None) -> int:
         acting = F.col("_tk").isNotNull() if unmatched is None else F.lit(True) if matched is not None else F.col("_tk").isNull()
         target = F.coalesce("_tk", value(unmatched[d.key]).cast(dict(d.columns)[d.key])) if unmatched else F.col("_tk")
         acted = both.where(acting).withColumn("_key", target)
@@ -446,7 +518,7 @@ class Transaction:
     def write(self, at: int, seq: int) -> dict:
         """Data files of the staged writes, stamped with the commit; called once the commit's number is settled."""
         out: dict = {"versions": {}, "retractions": {}}
-        stamp = {"_prov_txn_id": F.lit(self.number).cast("long"), "_prov_principal": F.lit(self.store.principal)}
+        stamp = {"_prov_txn_id": F.lit(seq).cast("long"), "_prov_principal": F.lit(self.store.principal)}
         tag = uuid.uuid4().hex
         for i, (name, kind, df) in enumerate(self.staged):
             d = self.store.resolve(name)
@@ -468,7 +540,5 @@ class Transaction:
         if not self.staged:
             return None
         at = self.store._commit(self)
-        for _, _, df in self.staged:
-            df.unpersist()
-        self.staged = []
+        self._drop(0)
         return at

@@ -14,15 +14,21 @@ def upsert_stream(stream: DataFrame, store: Store, table: str, on: str, order: l
     """Merge a stream of facts into a table by its key; of a batch's facts for one key the last in `order` counts.
 
     Late facts are a matter of valid time, not of watermarks: they get the system time at which they arrive. A batch that
-    is replayed after a failure merges the same values again, which leaves every read as it was.
+    is replayed after a failure is known by its name in the commit that holds it, and is left out.
     """
 
-    def commit(batch: DataFrame, _: int) -> None:
+    def commit(batch: DataFrame, number: int) -> None:
+        mark = f"{checkpoint}#{number}"
+        if any(m.get("batch") == mark for m in store.manifests()):
+            return
         latest = W.partitionBy(on).orderBy(*[F.col(c).desc() for c in order])
         last = batch.withColumn("_n", F.row_number().over(latest)).where("_n = 1").drop("_n")
         d = store.resolve(table)
         arm = columns or {c: c for c in [*d.payload, *(d.valid or ())] if c in batch.columns}
-        store.merge(table, last, on, {k: v for k, v in arm.items() if k != d.key}, arm)
+        txn = store.begin()
+        txn.batch = mark
+        txn.merge(table, last, on, {k: v for k, v in arm.items() if k != d.key}, arm)
+        txn.commit()
 
     writer = stream.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

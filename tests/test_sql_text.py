@@ -1,0 +1,102 @@
+"""The SQL front end: scopes, text left as written, arithmetic, nulls in order, ranges with CTEs, periods over joins."""
+
+import pytest
+from pyspark.errors import AnalysisException
+
+from tempora.operators.timeline import FOREVER, History, TemporalError
+from tempora.plans.sql import Session
+
+
+@pytest.fixture
+def s(spark):
+    session = Session(spark, lambda: 1000)
+    log = lambda data: History(spark.createDataFrame(data, "k int, sys_from bigint, seq bigint, v int, valid_from bigint, valid_to bigint"), "k", ("k", "v"), None, True)
+    session.register("o", log([(1, 10, 1, 5, 0, 50), (1, 20, 2, 6, 0, 50), (2, 10, 3, 7, 60, FOREVER), (3, 10, 4, None, 5, 6)]))
+    session.register("e", log([(1, 15, 1, 50, 40, 70), (2, 12, 2, 60, 0, 10), (3, 30, 3, 70, 5, 6)]))
+    session.register("plain", spark.createDataFrame([(1, 2147483647, 9223372036854775807, 1.5), (2, 7, -7, 2.5), (3, None, 0, 4.0)], "k int, i int, l bigint, d double"))
+    return session
+
+
+def got(df):
+    return [tuple(r) for r in df.collect()]
+
+
+def test_scopes(s):
+    assert got(s.sql("WITH o AS (SELECT 42 AS x) SELECT * FROM o")) == [(42,)]
+    assert got(s.sql("WITH o AS (SELECT v FROM o WHERE k = 2) SELECT * FROM o")) == [(7,)]
+    assert got(s.sql("WITH a AS (SELECT k FROM o), o(z) AS (SELECT COUNT(*) FROM a) SELECT z, (SELECT COUNT(*) FROM e) FROM o")) == [(3, 3)]
+    assert got(s.sql("SELECT k, o FROM (SELECT k, v AS o FROM o) AS e ORDER BY k LIMIT 1")) == [(1, 6)]
+    assert got(s.sql("SELECT o.k FROM o, e WHERE o.k = e.k AND o.k IN (SELECT k FROM plain WHERE d > 2) ORDER BY 1")) == [(2,), (3,)]
+    assert got(s.sql("SELECT k FROM o x WHERE EXISTS (WITH e AS (SELECT 3 AS k) SELECT 1 FROM e WHERE e.k = x.k)")) == [(3,)]
+    assert got(s.sql("SELECT k FROM o WHERE v IS DISTINCT FROM 6 AND EXTRACT(YEAR FROM DATE '2020-01-01') = 2020 ORDER BY k")) == [(2,), (3,)]
+
+
+def test_text_stays(s):
+    assert got(s.sql("SELECT 1e3 AS a, '1'::int AS b, /* SELECT 1 + */ 2 == 2 AS c, NULL <=> NULL AS d, 'it''s -- no' AS e -- end\n")) == [(1000.0, 1, True, True, "it's -- no")]
+    assert got(s.sql("SELECT COUNT(*), MAX(o.v) AS `a b` FROM o")) == [(3, 7)]
+    assert got(s.sql("SELECT plain.* FROM plain WHERE k = 2")) == [(2, 7, -7, 2.5)]
+
+
+def test_arithmetic(s):
+    row = s.sql("SELECT 7 / 2 AS a, -7 / 2 AS b, -7 % 2 AS c, 2147483647 + 1 AS d, 9223372036854775807 + 1 AS e, 5 / 0 AS f, 5 % 0 AS g, 2 + 3 * 4 - 1 AS h, (1 + 2) * 3 AS i, 7.0 / 2 AS j").first()
+    assert tuple(row) == (3, -3, -1, None, None, None, None, 13, 9, 3.5)
+    assert got(s.sql("SELECT i / 2, l / 2, d / 2, i + 1, l * 2, i - l, i / -1, k / k / k FROM plain ORDER BY k")) == [
+        (1073741823, 4611686018427387903, 0.75, None, None, -9223372034707292160, -2147483647, 1),
+        (3, -3, 1.25, 8, -14, 14, -7, 0),
+        (None, 0, 2.0, None, 0, None, None, 0),
+    ]
+    assert dict(s.sql("SELECT i / 2 AS a, l / 2 AS b, i + 1 AS c, i / k * 2 AS d FROM plain").dtypes) == {"a": "int", "b": "bigint", "c": "int", "d": "int"}
+    assert got(s.sql("SELECT SUM(l) AS a, SUM(i) AS b, SUM(d) AS c, SUM(l) / COUNT(*) AS e FROM plain")) == [(9223372036854775800, 2147483654, 8.0, 3074457345618258600)]
+    assert got(s.sql("SELECT SUM(l) AS a FROM (SELECT l FROM plain UNION ALL SELECT l FROM plain WHERE k = 1)")) == [(None,)]
+    assert got(s.sql("SELECT k FROM plain GROUP BY k HAVING MAX(i) / 2 > 3 - 1 ORDER BY k")) == [(1,), (2,)]
+    assert got(s.sql("SELECT AVG(i) / 2 AS h, SUM(x) / 2 AS q FROM (SELECT i, d AS x FROM plain WHERE k = 2)")) == [(3.5, 1.25)]
+
+
+def test_nulls_in_order(s):
+    assert got(s.sql("SELECT i FROM plain ORDER BY i")) == [(7,), (2147483647,), (None,)]
+    assert got(s.sql("SELECT i FROM plain ORDER BY i DESC, k")) == [(None,), (2147483647,), (7,)]
+    assert got(s.sql("SELECT i FROM plain ORDER BY i ASC NULLS FIRST LIMIT 1")) == [(None,)]
+    assert got(s.sql("SELECT k, ROW_NUMBER() OVER (ORDER BY i) AS n FROM plain ORDER BY k"))[2] == (3, 1)
+    with pytest.raises(AnalysisException):
+        s.sql("SELECT DISTINCT i FROM plain ORDER BY k")
+
+
+def test_hidden_columns(s):
+    assert s.sql("SELECT * FROM o WHERE sys_from = 20").columns == ["k", "v"]
+    assert s.sql("SELECT *, sys_from FROM o").columns == ["k", "v", "sys_from"]
+    assert got(s.sql("SELECT * FROM o JOIN e ON o.k = e.k WHERE o.sys_from < e.sys_from AND o.k < 3")) == [(2, 7, 2, 60)]
+
+
+def test_period_over_a_join(s):
+    assert got(s.sql("SELECT o.k, e.v FROM o JOIN e ON o.k = e.k WHERE PERIOD(o.valid_from, o.valid_to) OVERLAPS PERIOD(e.valid_from, e.valid_to) ORDER BY 1")) == [(1, 50), (3, 70)]
+    assert got(s.sql("SELECT k FROM o WHERE PERIOD(valid_from, valid_to) CONTAINS PERIOD(0, 50)")) == [(1,)]
+    with pytest.raises(TemporalError):
+        s.sql("SELECT k FROM o WHERE PERIOD(5, 5) CONTAINS PERIOD(0, 50)")
+
+
+def test_range_joins_with_ctes(s):
+    span = "FOR SYSTEM_TIME FROM 0 TO 100"
+    want = [(1, 5, 50, 15, 20), (1, 6, 50, 20, None), (2, 7, 60, 12, None), (3, None, 70, 30, None)]
+    assert got(s.sql(f"SELECT o.k, o.v, e.v, sys_from, sys_to FROM o JOIN e ON o.k = e.k {span} ORDER BY o.k, sys_from")) == want
+    assert got(s.sql(f"WITH c AS (SELECT k AS ck, d FROM plain WHERE k < 3) SELECT v, d, sys_from FROM o JOIN c ON k = ck {span} ORDER BY v")) == [(5, 1.5, 10), (6, 1.5, 20), (7, 2.5, 10)]
+    assert got(s.sql(f"SELECT v, x.n, sys_to FROM o JOIN (SELECT k AS j, COUNT(*) AS n FROM e GROUP BY k) x ON o.k = x.j {span} WHERE v < 7 ORDER BY v")) == [(5, 1, 20), (6, 1, None)]
+    assert s.sql(f"SELECT * FROM o JOIN plain ON o.k = plain.k {span}").columns == ["k", "v", "k", "i", "l", "d", "sys_from", "sys_to"]
+    assert got(s.sql(f"SELECT o.v / 2 AS h FROM o SEMI JOIN e ON o.k = e.k {span} ORDER BY h DESC, 1")) == [(None,), (3,), (3,), (2,)]
+    for wrong in (f"WITH c AS (SELECT 1 AS ck) SELECT * FROM o LEFT JOIN c ON o.k = c.ck {span}", f"SELECT v FROM o JOIN e ON o.k = e.k AND o.v = e.v {span}", f"SELECT 1 FROM plain JOIN plain p ON plain.k = p.k {span}"):
+        with pytest.raises(TemporalError):
+            s.sql(wrong)
+
+
+def test_explain(s):
+    lines = [r.plan for r in s.sql("EXPLAIN ANALYZE SELECT v, COUNT(*) FROM o GROUP BY v").collect()]
+    assert "rows: 3" in lines and lines[0] == "system time: 1000" and any("numOutputRows=3" in x for x in lines)
+    assert any("Physical Plan" in r.plan for r in s.sql("EXPLAIN SELECT v FROM o").collect())
+
+
+def test_equal_left_rows_stand_apart(spark):
+    from tempora.operators.tjoin import interval_join
+
+    left = spark.createDataFrame([(1, 0, 100), (1, 0, 100)], "a int, sys_from bigint, sys_to bigint")
+    right = spark.createDataFrame([(1, 10, 20), (1, 30, 40)], "b int, sys_from bigint, sys_to bigint")
+    counts = {how: interval_join(left, right, ("a", "b"), how).count() for how in ("inner", "left", "semi", "anti")}
+    assert counts == {"inner": 4, "left": 10, "semi": 4, "anti": 6}

@@ -150,12 +150,61 @@ def test_chain_audit_compact_backup_copy(spark, store, tmp_path):
         store.copy_from("acct", str(tmp_path / "bad.csv"), format="csv")
     assert rows(store.read("acct")) == [(1, 11), (7, 70), (8, None)]
     store.backup(str(tmp_path / "copy"))
+    again = Store.restore(spark, str(tmp_path / "copy"), str(tmp_path / "again"), clock=store.clock)
+    assert rows(again.read("acct")) == rows(store.read("acct")) and rows(again.read("acct", 103)) == rows(store.read("acct", 103))
+    with pytest.raises(StoreError):
+        Store.restore(spark, str(tmp_path / "copy"), str(tmp_path / "again"))
     copy = Store(spark, str(tmp_path / "copy"), clock=store.clock)
     assert rows(copy.read("acct")) == rows(store.read("acct")) and copy.catalog().count() == 2
     log = tmp_path / "copy" / "_commits" / "000000000002.json"
-    (log.parent / f".{log.name}.crc").unlink()
+    (log.parent / f".{log.name}.crc").unlink(missing_ok=True)
     log.write_text(log.read_text().replace('"principal": "local"', '"principal": "other"').replace('"at": ', '"at": 1'))
     assert not Store(spark, str(tmp_path / "copy")).verify_chain()[0]
+    with pytest.raises(StoreError):
+        Store.restore(spark, str(tmp_path / "copy"), str(tmp_path / "third"))
+
+
+def test_sealed_versions_prune_on_both_bounds(spark, store):
+    """After compaction reads, ranges, writes and histories are as before, and what is sealed is read without a shuffle."""
+    ats = []
+    store.insert("acct", df(spark, [(i, i) for i in range(6)]))
+    for _ in range(2):
+        store.update("acct", {"balance": F.col("balance") + 10}, F.col("id") < 3)
+        ats.append(store.now())
+    store.delete("acct", key=1)
+    store.delete("acct", key=5)
+    ats.append(store.now())
+    look = lambda: ([rows(store.read("acct", a)) for a in ats], rows(timeline.system_range(store.history("acct"), 0, 10_000)), rows(timeline.history(store.history("acct"))))
+    before = look()
+    store.compact("acct")
+    assert look() == before and {r.state for r in store.segments("acct").collect()} == {"open", "sealed"}
+    store.insert("acct", df(spark, [(1, 100)]))
+    store.update("acct", {"balance": 7}, key=2)
+    store.compact("acct")
+    assert look()[0] == before[0] and rows(store.read("acct")) == [(0, 20), (1, 100), (2, 7), (3, 3), (4, 4)]
+    sealed = timeline.as_of(store.history("acct"), ats[0]).explain  # the plan's sealed side
+    import contextlib, io
+
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        sealed("formatted")
+    assert "LessThanOrEqual(sys_from" in out.getvalue() and "GreaterThan(sys_to" in out.getvalue()
+
+
+def test_two_open_transactions(spark, store):
+    """Numbers are the commits' own, the audit has one row a version, and a read as of now never changes."""
+    t, u = store.begin(), store.begin()
+    t.insert("acct", df(spark, [(1, 10)]))
+    u.insert("acct", df(spark, [(2, 20)]))
+    store.clock.at = 500
+    t.commit()
+    at, seen = store.now(), rows(store.read("acct"))
+    store.clock.at = 50
+    u.commit()
+    assert rows(store.read("acct", at)) == seen == [(1, 10)] and rows(store.read("acct")) == [(1, 10), (2, 20)]
+    audit = store.audit("acct").collect()
+    assert len(audit) == 2 and len({r["_prov_txn_id"] for r in audit}) == 2 and all(r.linked for r in audit)
+    assert not store.files.create(f"{store.root}/_commits/000000000001.json", "{}")
 
 
 def test_random_model(spark, store):
@@ -200,3 +249,8 @@ def test_stream(spark, store, tmp_path):
     q = upsert_stream(stream, store, "acct", "id", ["n"], str(tmp_path / "ckpt"), once=True)
     q.awaitTermination(120)
     assert rows(store.read("acct")) == [(1, 6), (2, 7)]
+    n = len(store.manifests())
+    for f in (tmp_path / "ckpt" / "commits").iterdir():  # as if the stream had died before it noted its batch
+        f.unlink()
+    upsert_stream(spark.readStream.schema("id int, balance int, n int").parquet(str(tmp_path / "in")), store, "acct", "id", ["n"], str(tmp_path / "ckpt"), once=True).awaitTermination(120)
+    assert len(store.manifests()) == n and store.history("acct").versions.count() == 2
