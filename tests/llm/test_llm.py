@@ -127,7 +127,7 @@ def test_forest_recall_and_ties(spark):
     assert [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == 0] == [i for i, _ in exact[0]]
     full = sorted((r.query_id, r.rank, r.vec_id) for r in forest.brute_force(df, 100, 10).collect())
     assert full == [(q, i + 1, v) for q, best in exact.items() for i, (v, _) in enumerate(best)]
-    small = forest.search(df, 100, 10, block=3).collect()
+    small = forest.search(df, 100, 10, block=3, chunk=100).collect()
     assert len(small) == 90
     assert forest.search(df.where("vec_id IN (0, 1, 2)"), 100, 10).count() == 2
     assert forest.search(df.where("vec_id < 0"), 100, 10).count() == 0
