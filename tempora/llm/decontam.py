@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from .common import WORDS, durable, give_back, utf8
 
 WINDOW = 8
-PART_BYTES = 16 << 20
+#: Item text of one part: its tables take some hundred bytes a word in each worker.
+PART_BYTES = 4 << 20
 
 
 def words_of(text: bytes | None) -> list[bytes]:

@@ -35,3 +35,11 @@ def test_pipeline(spark):
     words = third.withColumn("n", F.size(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))).agg(F.sum("n")).first()[0]
     mixed = whole.withColumn("n", F.size(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))).agg(F.sum("n")).first()[0]
     assert 1.2 * words < mixed < 1.8 * words
+
+
+def test_stages_on_odd_and_empty_tables(spark, odd_docs, no_docs):
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd_docs, SF)
+        assert out.columns[: len(odd_docs.columns)] == odd_docs.columns, name
+        assert out.count() <= 2 * 8 and {r.doc_id for r in out.select("doc_id").collect()} <= {1, 2, 3, 5, 6, 7, None}
+        assert stage(spark, no_docs, SF).count() == 0, name
