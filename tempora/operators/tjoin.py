@@ -2,7 +2,8 @@
 
 Interval joins pair rows by an equality and combine their periods: INNER intersects; LEFT keeps the intersections and
 extends the left row with nulls over each maximal gap; SEMI keeps the left row over the joined-up covered parts; ANTI
-over the gaps. Matches are found by one equi-join; gaps and islands by one window over a left row's matches.
+over the gaps. Matches are found by one equi-join; gaps and islands by one window over a left row's matches. For keys with many rows on both
+sides the equality can take a slice of time beside the key, so rows of one key that are far apart in time never meet.
 """
 
 from __future__ import annotations
@@ -33,11 +34,16 @@ def interval_join(
     how: str = "inner",
     ends: tuple[str, str] = ("sys_from", "sys_to"),
     identity: list[str] | None = None,
+    slices: int | None = None,
 ) -> DataFrame:
     """left and right hold the period in the columns `ends` (no nulls; open is FOREVER) and no other common names.
 
     identity: columns that tell left rows apart; rows are numbered if none are given. Output: left columns, right columns (INNER
     and LEFT), and the output's period in `ends`.
+
+    slices: for keys with many rows on both sides. Time is cut where the starts of both sides have their quantiles (one pass
+    over them, `slices` - 1 numbers to the driver), each row is dealt to the slices its period meets, and a pair is made in the
+    first slice its two rows share, so once. A row is copied at most `slices` times; one of a short period once or twice.
     """
     how = how.lower().replace("left_", "")
     start, end = ends
@@ -45,8 +51,18 @@ def interval_join(
     rcols = [c for c in right.columns if c not in ends]
     if clash := set(lcols) & set(rcols):
         raise TemporalError(f"ambiguous column names in an interval join: {sorted(clash)}")
+    if how not in ("inner", "left", "semi", "anti"):
+        raise TemporalError(f"no interval form of a {how} join")
+    if how != "inner" and not identity:
+        left = left.withColumn("_lid", F.monotonically_increasing_id())
+    kept = left.columns
     r = right.withColumnsRenamed({start: "_rf", end: "_rt"})
+    cuts = quantiles(left, right, start, slices) if slices and slices > 1 else []
+    if cuts:
+        left, r = dealt(left, cuts, start, end, "_l"), dealt(r, cuts, "_rf", "_rt", "_r")
     met = (left[on[0]] == r[on[1]]) & (r["_rf"] < left[end]) & (r["_rt"] > left[start])
+    if cuts:
+        met &= (left["_lslice"] == r["_rslice"]) & (left["_lslice"] == F.greatest(left["_lfirst"], r["_rfirst"]))
     if how == "inner":
         return left.join(r, met).select(
             *[left[c] for c in lcols],
@@ -54,19 +70,20 @@ def interval_join(
             F.greatest(left[start], r["_rf"]).alias(start),
             F.least(left[end], r["_rt"]).alias(end),
         )
-    if how not in ("left", "semi", "anti"):
-        raise TemporalError(f"no interval form of a {how} join")
-    if not identity:
-        left = left.withColumn("_lid", F.monotonically_increasing_id())
     ids = [*(identity or ["_lid"]), start, end]
-    j = left.join(r, met, "left").select(
-        *[left[c] for c in left.columns],
+    j = left.join(r, met, "left")
+    if cuts:  # a row without a match in a slice stands for itself in its first slice only
+        j = j.where(r["_rf"].isNotNull() | (left["_lslice"] == left["_lfirst"]))
+    j = j.select(
+        *[left[c] for c in kept],
         *([r[c] for c in rcols] if how == "left" else []),
         F.greatest(left[start], r["_rf"]).alias("_cf"),
         F.least(left[end], r["_rt"]).alias("_ct"),
         r["_rf"].isNotNull().alias("_hit"),
     )
     j = j.withColumns({c: F.when(F.col("_hit"), F.col(c)) for c in ("_cf", "_ct")})
+    if cuts:
+        j = j.withColumn("_any", F.max("_hit").over(W.partitionBy(*ids))).where(F.col("_hit") | ~F.col("_any")).drop("_any")
     order = W.partitionBy(*ids).orderBy("_cf", "_ct")
     before = F.max("_ct").over(order.rowsBetween(W.unboundedPreceding, -1))
     j = j.withColumn("_max", before)
@@ -92,6 +109,23 @@ def interval_join(
     return j.select(*lcols, *rights, F.col("_p.f").alias(start), F.col("_p.t").alias(end))
 
 
+def quantiles(left: DataFrame, right: DataFrame, start: str, slices: int) -> list[int]:
+    """At most slices - 1 instants that cut the starts of both sides into like shares."""
+    shares = [i / slices for i in range(1, slices)]
+    starts = left.select(start).unionAll(right.select(start))
+    got = starts.agg(F.percentile_approx(start, shares, 10 * slices)).first()[0]
+    return sorted(set(got or []))
+
+
+def dealt(df: DataFrame, cuts: list[int], start: str, end: str, prefix: str) -> DataFrame:
+    """df once for each slice its period meets: the slice's number, and that of its first. An empty period is in one slice."""
+    edges = F.array(*[F.lit(c).cast("long") for c in cuts])
+    first = F.size(F.filter(edges, lambda c: c <= F.col(start)))
+    last = F.greatest(first, F.size(F.filter(edges, lambda c: c < F.col(end))))
+    df = df.withColumn(f"{prefix}first", first)
+    return df.withColumn(f"{prefix}slice", F.explode(F.sequence(F.col(f"{prefix}first"), last)))
+
+
 def in_window(rows: DataFrame, low: int, high: int, closed: bool = False, ends: tuple[str, str] = ("sys_from", "sys_to")) -> DataFrame:
     """The rows whose period meets the asked window; periods are not clipped to it."""
     return rows.where(overlap(F.col(ends[0]), F.col(ends[1]), low, high, closed))

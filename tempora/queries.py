@@ -239,6 +239,13 @@ def interval_join_anti(spark, sf_dir):
     return timeline.shown(tjoin.in_window(tjoin.interval_join(left, right, ("o_custkey", "k"), "anti"), T1, T2), "sys_to")
 
 
+@query(ORACLE["interval_join_left"])
+def interval_join_sliced(spark, sf_dir):
+    """The LEFT join again, with a slice of time beside the key: what keys with many rows on both sides need."""
+    left, right = _sides(spark, sf_dir)
+    return timeline.shown(tjoin.in_window(tjoin.interval_join(left, right, ("o_custkey", "k"), "left", slices=16), T1, T2), "sys_to")
+
+
 @query(
     """SELECT n_nationkey, sha256(unhex('53544c484b31' || '00000003' || '02' || printf('%016x', 4) || printf('%08x', n_nationkey)
  || '04' || printf('%016x', octet_length(encode(n_name))) || hex(encode(n_name)) || '00' || printf('%016x', 0))) AS k FROM nation"""

@@ -82,7 +82,22 @@ def test_interval_joins(spark, how):
     left, right = some(40), some(40)
     a = spark.createDataFrame(left, "lk int, lv int, sys_from bigint, sys_to bigint")
     b = spark.createDataFrame(right, "rk int, rv int, sys_from bigint, sys_to bigint")
-    assert rows(tjoin.interval_join(a, b, ("lk", "rk"), how)) == brute(left, right, how)
+    for slices in (None, 2, 5, 40):
+        assert rows(tjoin.interval_join(a, b, ("lk", "rk"), how, slices=slices)) == brute(left, right, how), slices
+    none = b.where("rk < 0")
+    assert rows(tjoin.interval_join(a, none, ("lk", "rk"), how, slices=4)) == brute(left, [], how)
+    assert tjoin.interval_join(a.where("lk < 0"), none, ("lk", "rk"), how, slices=4).count() == 0
+
+
+def test_slices_of_time_keep_a_hot_key_apart(spark):
+    """One key on both sides, short periods one after another: the pairs tried are near the pairs found."""
+    a = spark.range(400).selectExpr("1 lk", "id lv", "id * 10 sys_from", "id * 10 + 10 sys_to")
+    b = spark.range(400).selectExpr("1 rk", "id rv", "id * 10 + 5 sys_from", "id * 10 + 15 sys_to")
+    assert tjoin.interval_join(a, b, ("lk", "rk"), "inner", slices=40).count() == 799
+    cuts = tjoin.quantiles(a, b, "sys_from", 40)
+    left, right = tjoin.dealt(a, cuts, "sys_from", "sys_to", "_l"), tjoin.dealt(b, cuts, "sys_from", "sys_to", "_r")
+    tried = left.join(right, (left.lk == right.rk) & (left._lslice == right._rslice)).count()
+    assert left.count() <= 440 and tried < 400 * 400 / 20
 
 
 def test_fragmentation_through_sql(spark):
