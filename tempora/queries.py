@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +11,7 @@ from .functions import numeric
 from .functions.hashkey import hash_key
 from .operators import periods, shape, timeline, tjoin
 from .sources import derive
+from .sources.files import shared_folder
 
 #: Instants in the test tables' years, microseconds.
 T1, T2, T3 = 820_454_400_000_000, 883_612_800_000_000, 852_076_800_000_000  # 1996-01-01, 1998-01-01, 1997-01-01
@@ -345,8 +345,7 @@ def _store_session(spark, sf_dir):
     from .plans.statements import StoreSession
     from .sources.store import Store
 
-    where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tempora-store-")
-    session = StoreSession(Store(spark, f"{where.rstrip('/')}/tempora-store/{uuid.uuid4().hex}", principal="bench", clock=lambda: 1000))
+    session = StoreSession(Store(spark, f"{shared_folder(spark)}/tempora-store/{uuid.uuid4().hex}", principal="bench", clock=lambda: 1000))
     session.register("c", _t(spark, sf_dir, "customer").select("c_custkey", derive.cents("c_acctbal").alias("cents")))
     return session
 

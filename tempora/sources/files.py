@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share. Where the session names none, one of our own if all runs in one process."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("on a cluster, set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = tempfile.mkdtemp(prefix="tempora-store-")
+    return where.rstrip("/")
+
+
 class Files:
     def __init__(self, spark: SparkSession):
         self.spark, self.jvm = spark, spark._jvm

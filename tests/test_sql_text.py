@@ -100,3 +100,24 @@ def test_equal_left_rows_stand_apart(spark):
     right = spark.createDataFrame([(1, 10, 20), (1, 30, 40)], "b int, sys_from bigint, sys_to bigint")
     counts = {how: interval_join(left, right, ("a", "b"), how).count() for how in ("inner", "left", "semi", "anti")}
     assert counts == {"inner": 4, "left": 10, "semi": 4, "anti": 6}
+
+
+def test_mixed_widths_are_an_error_where_asked(s):
+    s.strict_widths = True
+    for text in ("SELECT i + l FROM plain", "SELECT (l * 2) / i AS x FROM plain", "SELECT k FROM plain WHERE i - l > 0"):
+        with pytest.raises(ValueError, match="CAST one"):
+            s.sql(text)
+    assert got(s.sql("SELECT l + 1, 2 * l, i / 2, CAST(i AS BIGINT) - l FROM plain WHERE k = 2")) == [(-6, -14, 3, 14)]
+    s.strict_widths = False
+    assert got(s.sql("SELECT i + l FROM plain WHERE k = 2")) == [(0,)]
+
+
+def test_prompt(s, spark, tmp_path):
+    spark.range(3000).write.parquet(str(tmp_path / "many"))
+    s.register("many", spark.read.parquet(str(tmp_path / "many")))
+    rows, notices = s.interactive("SELECT * FROM many ORDER BY id")
+    assert [r.id for r in rows] == list(range(1000)) and "more than 1000" in notices[1]
+    assert "3000 rows" in s.interactive("SELECT COUNT(id) FROM many")[1][0]
+    for text, n in (("SELECT * FROM many LIMIT 1500", 1500), ("SELECT * FROM (SELECT * FROM many LIMIT 1200) WHERE id >= 0", 1000), ("SELECT k FROM plain", 3)):
+        assert len(s.interactive(text)[0]) == n
+    assert s.sql("SELECT * FROM many").count() == 3000

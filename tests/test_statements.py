@@ -116,3 +116,13 @@ def test_constant_keys(spark):
     assert constant_key() == "c3ae0194dddca9863f78e86574fa26d75441dd94643ea5ef3196058761db054f"
     got = Session(spark, lambda: 1).sql("SELECT 1 AS one, hash('acme', 42, NULL) AS k").first()
     assert (got.one, got.k) == (1, "61c9586983296ab2e403396f6ce20b01e2adc2514633fc63bb9d5a1e0ce85a20")
+
+
+def test_explained_writes(s):
+    s.sql("CREATE TABLE w (id INT, v INT) WITH SYSTEM VERSIONING")
+    s.sql("INSERT INTO w VALUES (1, 1), (2, 2)")
+    lines = [r.plan for r in s.sql("EXPLAIN INSERT INTO w SELECT id + 10, v FROM w").collect()]
+    assert lines[0] == "insert: w" and any("Project" in x for x in lines)
+    assert [r.plan for r in s.sql("EXPLAIN DELETE FROM w WHERE id = 1").collect()][0] == "delete: w" and s.sql("SELECT * FROM w").count() == 2
+    assert [r.plan for r in s.sql("EXPLAIN ANALYZE UPDATE w SET v = v + 1 WHERE id > 0").collect()][-1] == "rows: 2"
+    assert sorted(tuple(r) for r in s.sql("SELECT id, v FROM w").collect()) == [(1, 2), (2, 3)]
