@@ -55,17 +55,18 @@ def _spans(text: Column, pattern: str, possible: Column) -> Column:
 SPANS = "array<struct<s: int, e: int, m: string, before: string, after: string>>"
 
 
-def _starts(lengths: Column, levels: int = 3) -> Column:
-    """The sum of what stands before each element. A list grown one by one is copied each time, so it is grown in pieces
-    of PIECE, whose own starts come the same way: the cost grows with the number of elements, not with its square."""
+def _starts(lengths: Column, levels: int = 3, add=lambda a, b: a + b) -> Column:
+    """The sum of what stands before each element; with F.greatest as `add` the greatest of it, from 0. A list grown one by one
+    is copied each time, so it is grown in pieces of PIECE, whose own starts come the same way: the cost grows with the number
+    of elements, not with its square."""
     if not levels:
         none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-        return F.aggregate(lengths, none, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
+        return F.aggregate(lengths, none, lambda acc, n: F.struct(add(acc["at"], n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
     pieces = F.transform(F.sequence(F.lit(1), F.size(lengths), F.lit(PIECE)), lambda i: F.slice(lengths, i, PIECE))
 
     def joined(p: Column) -> Column:
-        wholes = F.transform(p, lambda c: F.aggregate(c, F.lit(0), lambda total, n: total + n))
-        return F.flatten(F.zip_with(p, _starts(wholes, levels - 1), lambda c, at: F.transform(_starts(c, 0), lambda n: n + at)))
+        wholes = F.transform(p, lambda c: F.aggregate(c, F.lit(0), lambda total, n: add(total, n)))
+        return F.flatten(F.zip_with(p, _starts(wholes, levels - 1, add), lambda c, at: F.transform(_starts(c, 0, add), lambda n: add(n, at))))
 
     return _let(pieces, joined)
 
@@ -357,16 +358,37 @@ def personal_data(docs: DataFrame, rows: int = 2000) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("all")).alias("spans"))
 
 
+#: Code points of a block, as a power of two: a stretch of text is cut out of the blocks it touches, not out of the whole.
+BLOCK_BITS = 8
+
+
+def masked(text: Column, spans: Column, mark: str = "*") -> Column:
+    """text with the code points of spans (array<struct<s: int, e: int>>, which may overlap) masked, one mark each. The cost is
+    that of the text and of a block a span."""
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{1 << BLOCK_BITS}}}"), F.lit(0))
+
+    def stretch(x: Column, a: Column, b: Column) -> Column:
+        first, last = F.shiftright(a, BLOCK_BITS), F.shiftright(b - 1, BLOCK_BITS)
+        held = F.array_join(F.slice(x["b"], first + 1, last - first + 1), "")
+        return F.when(b > a, F.substr(held, a - F.shiftleft(first, BLOCK_BITS) + 1, b - a)).otherwise("")
+
+    def part(x: Column, s: Column, done: Column) -> Column:
+        from_ = F.greatest(s["s"], done)
+        return F.concat(stretch(x, done, s["s"]), F.when(s["e"] > from_, F.repeat(F.lit(mark), s["e"] - from_)).otherwise(""))
+
+    def joined(x: Column) -> Column:
+        done = _starts(F.transform(x["a"], lambda s: s["e"]), add=F.greatest)
+        tail = stretch(x, F.array_max(F.transform(x["a"], lambda s: s["e"])), x["n"])
+        return F.concat(F.array_join(F.zip_with(x["a"], done, lambda s, d: part(x, s, d)), ""), tail)
+
+    held = F.struct(F.sort_array(spans).alias("a"), blocks.alias("b"), F.char_length(text).alias("n"))
+    return F.when(F.size(spans) > 0, _let(held, joined)).otherwise(text)
+
+
 def redact(docs: DataFrame, model: Model, mark: str = "*") -> DataFrame:
-    """docs with every found span masked, character for character."""
+    """docs with every found span masked, character for character; a null text becomes the empty one."""
     text = F.coalesce(F.col("text"), F.lit(""))
     spans = detect(docs.select(F.struct(*docs.columns).alias("doc_id"), text.alias("text")), model)
-    merged = F.sort_array(F.transform("all", lambda s: F.struct(s["s"].alias("s"), s["e"].alias("e"))))
-    masked = F.aggregate(
-        merged,
-        F.col("doc_id.text"),
-        lambda t, s: F.overlay(t, F.repeat(F.lit(mark), s["e"] - s["s"]), s["s"] + 1, s["e"] - s["s"]),
-    )
-    return spans.withColumn("masked", masked).select(*[F.col("masked").alias(c) if c.lower() == "text" else F.col(f"doc_id.`{c}`") for c in docs.columns])
-
-
+    places = F.transform("all", lambda s: F.struct(s["s"].alias("s"), s["e"].alias("e")))
+    found = spans.withColumn("masked", masked(F.coalesce(F.col("doc_id.text"), F.lit("")), places, mark))
+    return found.select(*[F.col("masked").alias(c) if c.lower() == "text" else F.col(f"doc_id.`{c}`") for c in docs.columns])
