@@ -167,9 +167,7 @@ WHERE c_custkey IN (SELECT k FROM big WHERE n > 1) AND c_nationkey NOT IN (SELEC
 
 @query(SUBQUERIES)
 def subqueries_and_ctes(spark, sf_dir):
-    for t in ("orders", "customer", "nation"):
-        _t(spark, sf_dir, t).createOrReplaceTempView(t)
-    return spark.sql(SUBQUERIES)
+    return _session(spark, **{t: _t(spark, sf_dir, t) for t in ("orders", "customer", "nation")}).sql(SUBQUERIES)
 
 
 @query(
